@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import schema_drift
+from ..storage import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {
+        "p3_found": lambda s, d: schema_drift.changes(table(s, d, "raw_lines")),
+        "p3_islands": lambda s, d: schema_drift.islands(table(s, d, "raw_lines")),
+        "p3_consistent": lambda s, d: schema_drift.consistent(table(s, d, "raw_lines")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": schema_drift.oracle_changes()}
