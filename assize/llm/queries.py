@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import table
-from . import consensus, survivors
+from . import consensus, leakage, repetition, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,12 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: consensus.found(table(s, d, "feedback")),
         "p5_items": lambda s, d: consensus.agree(table(s, d, "feedback"))[0],
         "p5_annotators": lambda s, d: consensus.agree(table(s, d, "feedback"))[1],
+        "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "bench_passages")),
+        "p8_coverage": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "bench_passages"), min_run=5, min_coverage=0.5),
+        "p10_found": lambda s, d: repetition.found(table(s, d, "documents")),
+        "p10_repetition": lambda s, d: repetition.measure(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p8_found": leakage.FOUND_SQL, "p10_found": repetition.FOUND_SQL}
