@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import table
-from . import consensus, leakage, repetition, survivors
+from . import consensus, credentials, leakage, repetition, splitting, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: consensus.found(table(s, d, "feedback")),
         "p5_items": lambda s, d: consensus.agree(table(s, d, "feedback"))[0],
         "p5_annotators": lambda s, d: consensus.agree(table(s, d, "feedback"))[1],
+        "p4_found": lambda s, d: credentials.found(table(s, d, "chunks")),
+        "p4_redacted": lambda s, d: credentials.scan(table(s, d, "chunks")),
+        "p7_found": lambda s, d: splitting.found(table(s, d, "chunks")),
+        "p7_pieces": lambda s, d: splitting.pieces(table(s, d, "chunks")),
         "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "bench_passages")),
         "p8_coverage": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "bench_passages"), min_run=5, min_coverage=0.5),
         "p10_found": lambda s, d: repetition.found(table(s, d, "documents")),
