@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import table
-from . import consensus, credentials, leakage, repetition, splitting, survivors
+from . import consensus, credentials, leakage, near_duplicates, repetition, splitting, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: consensus.found(table(s, d, "feedback")),
         "p5_items": lambda s, d: consensus.agree(table(s, d, "feedback"))[0],
         "p5_annotators": lambda s, d: consensus.agree(table(s, d, "feedback"))[1],
+        "p2_found": lambda s, d: near_duplicates.found(table(s, d, "findings")),
+        "p2_groups": lambda s, d: near_duplicates.groups(table(s, d, "findings")),
         "p4_found": lambda s, d: credentials.found(table(s, d, "chunks")),
         "p4_redacted": lambda s, d: credentials.scan(table(s, d, "chunks")),
         "p7_found": lambda s, d: splitting.found(table(s, d, "chunks")),
@@ -31,4 +33,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_found": leakage.FOUND_SQL, "p10_found": repetition.FOUND_SQL}
+    return {"p2_found": near_duplicates.FOUND_SQL, "p8_found": leakage.FOUND_SQL, "p10_found": repetition.FOUND_SQL}
