@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import table
-from . import consensus, credentials, leakage, near_duplicates, repetition, splitting, survivors
+from . import consensus, credentials, entities, leakage, near_duplicates, repetition, splitting, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "p2_groups": lambda s, d: near_duplicates.groups(table(s, d, "findings")),
         "p4_found": lambda s, d: credentials.found(table(s, d, "chunks")),
         "p4_redacted": lambda s, d: credentials.scan(table(s, d, "chunks")),
+        "p6_found": lambda s, d: entities.found(table(s, d, "feedback"), table(s, d, "traces")),
+        "p6_matches": lambda s, d: entities.match(table(s, d, "feedback"), table(s, d, "traces")),
         "p7_found": lambda s, d: splitting.found(table(s, d, "chunks")),
         "p7_pieces": lambda s, d: splitting.pieces(table(s, d, "chunks")),
         "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "bench_passages")),
