@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import table
-from . import consensus, credentials, entities, leakage, near_duplicates, repetition, splitting, survivors
+from . import consensus, credentials, entities, leakage, mixing, near_duplicates, repetition, splitting, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,8 @@ def queries() -> dict[str, Query]:
         "p7_pieces": lambda s, d: splitting.pieces(table(s, d, "chunks")),
         "p8_found": lambda s, d: leakage.found(table(s, d, "documents"), table(s, d, "bench_passages")),
         "p8_coverage": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "bench_passages"), min_run=5, min_coverage=0.5),
+        "p9_mixture": lambda s, d: mixing.select(table(s, d, "documents"), table(s, d, "mix_targets"))[1],
+        "p9_selection": lambda s, d: mixing.select(table(s, d, "documents"), table(s, d, "mix_targets"))[0],
         "p10_found": lambda s, d: repetition.found(table(s, d, "documents")),
         "p10_repetition": lambda s, d: repetition.measure(table(s, d, "documents")),
     }
