@@ -1,24 +1,347 @@
-"""Queries of the core and their SQL."""
+"""Queries of the core over whole tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import schema_drift
+from ..functions import text
+from ..functions.records import annotator, provenance_kind, verdict
+from ..operators import calibration, corpus_join, curves, kpi, merging, retrieval, schema_drift, trends
 from ..storage import table
+from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: The time from which ages are counted: 2026-01-01, in microseconds.
+NOW_US = 1_767_225_600_000_000
+
+RULES = [
+    {"pattern": "unwraps the", "file": "**/*.rs"},
+    {"pattern": "cyclomatic complexity", "category": "complexity"},
+    {"pattern": "race on the shared"},
+    {"pattern": "Doc comment", "file": "src/*/*.py"},
+]
+
+_SQL: dict[str, str] = {}
+_QUERIES: dict[str, Query] = {}
+
+
+def _add(name: str, query: Query, oracle: str | None = None) -> None:
+    _QUERIES[name] = query
+    if oracle:
+        _SQL[name] = oracle
+
 
 def queries() -> dict[str, Query]:
-    return {
-        "p3_found": lambda s, d: schema_drift.changes(table(s, d, "raw_lines")),
-        "p3_islands": lambda s, d: schema_drift.islands(table(s, d, "raw_lines")),
-        "p3_consistent": lambda s, d: schema_drift.consistent(table(s, d, "raw_lines")),
-    }
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": schema_drift.oracle_changes()}
+    return dict(_SQL)
+
+
+# -- figures -----------------------------------------------------------------------
+
+_add("verdict_precision_by_source", lambda s, d: kpi.verdicts_by_model(table(s, d, "feedback")),
+     f"WITH {S.FB}, g AS (SELECT lower(coalesce(model, 'unknown')) AS model, count(*) AS n_rows, {S.COUNTS} FROM fb GROUP BY 1) SELECT *, {S.PRECISION} FROM g")
+_add("tier_rollup_by_agent", lambda s, d: kpi.tier_rollup(table(s, d, "feedback")),
+     f"""WITH {S.FB}, g AS (SELECT 'tier' AS level, tier, '' AS agent, count(*) AS n_rows, {S.COUNTS} FROM fb GROUP BY tier
+ UNION ALL SELECT 'agent', tier, coalesce(agent, '(none)'), count(*), {S.COUNTS} FROM fb WHERE tier = 'external' GROUP BY ALL) SELECT *, {S.PRECISION} FROM g""")
+_add("fp_kind_utilization", lambda s, d: kpi.fp_kind_utilization(table(s, d, "feedback")),
+     rf"""WITH {S.FB}, g AS (SELECT count(*) AS n_fp, count(*) FILTER (WHERE regexp_matches(fp_kind, '\S')) AS n_tagged FROM fb WHERE v = 'fp') SELECT *, round(n_tagged / nullif(n_fp, 0), 6) AS utilization FROM g""")
+_add("linkage_stats", lambda s, d: kpi.linkage(table(s, d, "feedback"), table(s, d, "reviews")),
+     f"""WITH {S.FB}, k AS (SELECT DISTINCT unnest(finding_ids) AS known FROM reviews), g AS (SELECT count(*) AS n_rows, count(known) AS n_linked FROM fb LEFT JOIN k ON fid = known WHERE tier IN ('human', 'post_fix'))
+ SELECT *, round({S.div('n_linked', 'n_rows')}, 6)::DOUBLE AS rate FROM g""")
+_add("external_overlap", lambda s, d: kpi.external_overlap(table(s, d, "feedback")),
+     f"""WITH {S.FB}, h AS (SELECT fid, arg_max(v, seq) AS human_v FROM fb WHERE tier = 'human' AND fid IS NOT NULL AND v IS NOT NULL GROUP BY 1),
+ g AS (SELECT coalesce(agent, '(none)') AS agent, count(*) AS n_external, count(human_v) AS n_overlap,
+  count(*) FILTER (WHERE (v IN ('tp', 'partial') AND human_v IN ('tp', 'partial')) OR (v = 'fp' AND human_v = 'fp')) AS n_agree FROM fb LEFT JOIN h USING (fid) WHERE tier = 'external' GROUP BY 1)
+ SELECT *, round({S.div('n_agree', 'n_overlap')}, 6)::DOUBLE AS agreement FROM g""")
+_add("slice_by_repo", lambda s, d: kpi.slice_by(table(s, d, "reviews"), "repo"),
+     f"WITH g AS (SELECT repo AS k, {S.MEASURES} FROM reviews GROUP BY repo) SELECT coalesce(k, '(no repo)') AS repo, k IS NULL AS is_missing, * EXCLUDE (k) FROM g")
+_add("slice_by_caller", lambda s, d: kpi.slice_by(table(s, d, "reviews"), "invoked_from", "(unknown)"),
+     f"WITH g AS (SELECT invoked_from AS k, {S.MEASURES} FROM reviews GROUP BY invoked_from) SELECT coalesce(k, '(unknown)') AS invoked_from, k IS NULL AS is_missing, * EXCLUDE (k) FROM g")
+_add("slice_by_rule_exploded", lambda s, d: kpi.slice_by_rule(table(s, d, "reviews")),
+     f"SELECT rule, {S.MEASURES} FROM (SELECT *, unnest(map_keys(suppressed_by_rule)) AS rule FROM reviews) GROUP BY rule")
+_add("severity_histogram", lambda s, d: kpi.severity_histogram(table(s, d, "reviews")),
+     "SELECT severity, rank, sum(n)::BIGINT AS n, count(*) FILTER (WHERE n > 0) AS n_reviews FROM (" + " UNION ALL ".join(f"SELECT '{x}' AS severity, {4 - i} AS rank, coalesce(findings_by_severity.{x}, 0) AS n FROM reviews" for i, x in enumerate(S.LEVELS)) + ") GROUP BY ALL")
+_PRICE = {k: "CASE " + " ".join(f"WHEN {'starts_with' if p[0] == 'prefix' else 'contains'}(coalesce(model, ''), '{p[1]}') THEN {p[k]}" for p in __import__("assize.functions.numbers", fromlist=["PRICES"]).PRICES) + f" ELSE {(3.0, 15.0)[k - 2]} END" for k in (2, 3)}
+_add("cost_estimate", lambda s, d: kpi.cost_by_model(table(s, d, "reviews")),
+     f"WITH g AS (SELECT model, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM reviews GROUP BY 1) SELECT *, round((tokens_in * {_PRICE[2]} + tokens_out * {_PRICE[3]}) / 1e6, 6)::DOUBLE AS cost FROM g")
+_add("kpi_recent", lambda s, d: kpi.recent(table(s, d, "reviews"), table(s, d, "feedback")),
+     f"""WITH e AS (SELECT max(reviewed_at) AS t FROM reviews), l AS (SELECT r.* FROM reviews r, e WHERE reviewed_at > t - INTERVAL 7 DAY),
+ g AS (SELECT count(*) AS n_reviews, sum({S.FOUND})::BIGINT AS n_findings, sum({S.SUPPRESSED})::BIGINT AS n_suppressed, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM l),
+ m AS (SELECT model FROM l GROUP BY model ORDER BY count(*) DESC, model LIMIT 1), f AS (SELECT count(*) AS n_feedback FROM feedback, e WHERE ts > t - INTERVAL 7 DAY AND ts <= t)
+ SELECT *, round({S.div('n_findings', 'n_reviews')}, 6)::DOUBLE AS findings_per_review, round({S.div('n_suppressed', 'n_findings + n_suppressed')}, 6)::DOUBLE AS suppression_rate,
+ round({S.div('tokens_in + tokens_out', 'n_findings')}, 6)::DOUBLE AS tokens_per_finding, round((tokens_in * {_PRICE[2]} + tokens_out * {_PRICE[3]}) / 1e6, 6)::DOUBLE AS cost,
+ round(least(1.0, {S.div('n_feedback', 'n_findings')}), 6)::DOUBLE AS capture_rate FROM g, m, f""")
+_MISLED = r"""m AS (SELECT unnest(regexp_extract_all(verdict, '"(ck-[^"]*)"', 1)) AS chunk_id FROM feedback WHERE verdict LIKE '{%' AND regexp_matches(verdict, '(?i)context_?misleading'))"""
+_add("misleading_chunks", lambda s, d: kpi.misleading_chunks(table(s, d, "feedback")),
+     f"WITH {_MISLED} SELECT chunk_id, count(*) AS n, round(CASE WHEN count(*) < 3 THEN 0.2 + count(*) * (1 - 0.2) / 3 END, 6)::DOUBLE AS threshold, count(*) >= 3 AS blocked FROM m GROUP BY 1")
+_add("wilson_bounds", lambda s, d: kpi.wilson_by_tier(table(s, d, "feedback")),
+     f"""WITH {S.FB}, g AS (SELECT tier, {S.COUNTS} FROM fb GROUP BY tier), h AS (SELECT tier, n_tp + n_partial AS k, n_tp + n_partial + n_fp AS n FROM g), p AS (SELECT *, k / nullif(n, 0) AS p FROM h)
+ SELECT tier, k, n, round(coalesce(greatest(0, (p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 0), 6)::DOUBLE AS low,
+ round(coalesce(least(1, (p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n)), 1), 6)::DOUBLE AS high FROM p""")
+_add("grounding_counts", lambda s, d: kpi.grounding_counts(table(s, d, "findings")), "SELECT source_kind, coalesce(grounding_status, 'not-checked') AS status, count(*) AS n FROM findings GROUP BY ALL")
+_add("score_distribution", lambda s, d: kpi.score_distribution(table(s, d, "findings")),
+     "SELECT source_kind, count(*) AS n, round(quantile_disc(confidence::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(confidence::DOUBLE, 0.5), 6) AS median, round(quantile_disc(confidence::DOUBLE, 0.9), 6) AS p90 FROM findings WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY 1")
+_add("exit_codes", lambda s, d: kpi.exit_codes(table(s, d, "findings")),
+     "SELECT run_id, count(*) AS n, max(CASE WHEN severity IN ('high', 'critical') THEN 2 WHEN severity = 'medium' THEN 1 ELSE 0 END) AS exit_code FROM findings GROUP BY 1")
+_add("top_findings", lambda s, d: kpi.top_findings(table(s, d, "findings")),
+     "SELECT run_id, place::INT AS place, id, severity, line_start FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY list_position(['info', 'low', 'medium', 'high', 'critical'], severity) DESC, line_start, id) AS place FROM findings) WHERE place <= 3")
+_add("telemetry_fold", lambda s, d: kpi.telemetry_fold(table(s, d, "reviews")),
+     """SELECT run_id, count(*) AS n_records, sum(tokens_in)::BIGINT AS tokens_in, bool_or(flags.deep) AS deep, arg_max(model, (received_at, reviewed_at)) AS last_model,
+ arg_min(repo, (received_at, reviewed_at)) FILTER (WHERE repo IS NOT NULL) AS first_repo, len(list_distinct(flatten(list(finding_ids)))) AS n_finding_ids FROM reviews GROUP BY 1""")
+
+# -- trends ------------------------------------------------------------------------
+
+_TREND = f"""t AS (SELECT *, min(at_us) OVER () AS first FROM r), w AS (SELECT ((at_us - first) // 604800000000)::BIGINT AS window_no, any_value(first) AS first, count(*) AS n, {S.COUNTS} FROM t GROUP BY 1 HAVING count(*) >= 10)
+ SELECT window_no, (first + window_no * 604800000000)::BIGINT AS start_us, n, n_tp + n_partial + n_fp AS denominator, {S.PRECISION} FROM w"""
+_add("precision_trend_7d", lambda s, d: trends.precision_trend(table(s, d, "feedback")), f"WITH {S.FB}, r AS (SELECT v, epoch_us(ts) AS at_us FROM fb WHERE ts IS NOT NULL), {_TREND}")
+_add("precision_trend_per_finding", lambda s, d: trends.precision_trend_per_finding(table(s, d, "feedback")),
+     f"""WITH {S.FB}, o AS (SELECT v, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY fid ORDER BY tier <> 'human', ts, seq) AS rn FROM fb WHERE fid IS NOT NULL AND ts IS NOT NULL AND tier IN ('human', 'post_fix')),
+ r AS (SELECT v, at_us FROM o WHERE rn = 1), {_TREND}""")
+_add("rolling_windows_n", lambda s, d: trends.rolling_windows(table(s, d, "reviews")),
+     f"""WITH o AS (SELECT *, (row_number() OVER (ORDER BY reviewed_at DESC, run_id DESC, received_at DESC) - 1) // 50 AS w FROM reviews)
+ SELECT w::BIGINT AS window_no, CASE WHEN w = 0 THEN 'last 50' WHEN w = 1 THEN 'prev 50' ELSE 'prev ' || (w * 50)::BIGINT END AS label, count(*) AS n_reviews, sum({S.FOUND})::BIGINT AS n_findings,
+ round({S.div(f'sum({S.FOUND})', 'sum(files_reviewed)')}, 6)::DOUBLE AS findings_per_file, min(epoch_us(reviewed_at)) AS from_us, max(epoch_us(reviewed_at)) AS to_us FROM o GROUP BY w""")
+_SPARK = f"""o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY reviewed_at, run_id, received_at) AS i, count(*) OVER (PARTITION BY repo) AS total FROM reviews),
+ b AS (SELECT repo, ((5 * i - 1) // total)::INT AS bucket, count(*) AS n_reviews, round({S.div(f'sum({S.FOUND})', 'sum(files_reviewed)')}, 6)::DOUBLE AS value FROM o WHERE total >= 5 GROUP BY ALL)"""
+_add("sparkline_buckets", lambda s, d: trends.sparklines(table(s, d, "reviews")), f"WITH {_SPARK} SELECT * FROM b")
+_add("trend_arrows", lambda s, d: trends.trend_arrows(table(s, d, "reviews")),
+     f"""WITH {_SPARK}, e AS (SELECT repo, arg_min(value, bucket) AS f, arg_max(value, bucket) AS l FROM b GROUP BY repo)
+ SELECT repo, CASE WHEN (l - f) / greatest(abs(f), 1e-9) > 0.05 THEN 'up' WHEN (l - f) / greatest(abs(f), 1e-9) < -0.05 THEN 'down' ELSE 'flat' END AS arrow FROM e""")
+
+# -- curves and thresholds ---------------------------------------------------------------
+
+
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    """Confirmed findings against their confidence."""
+    rows = table(s, d, "findings").filter("calibrator_action IS NOT NULL")
+    return rows.select(F.col("confidence").cast("double").alias("score"), (F.col("calibrator_action") == "confirmed").alias("positive"))
+
+
+_CURVE = """s AS (SELECT confidence::DOUBLE AS score, calibrator_action = 'confirmed' AS positive FROM findings WHERE calibrator_action IS NOT NULL AND confidence IS NOT NULL AND NOT isnan(confidence)),
+ p AS (SELECT round(score, 12) AS threshold, count(*) FILTER (WHERE positive) AS tp, count(*) FILTER (WHERE NOT positive) AS fp FROM s GROUP BY 1),
+ k AS (SELECT threshold, sum(tp) OVER (ORDER BY threshold DESC) AS n_tp, sum(fp) OVER (ORDER BY threshold DESC) AS n_fp, sum(tp) OVER () AS all_tp FROM p),
+ c AS (SELECT threshold, round(n_tp / (n_tp + n_fp), 6)::DOUBLE AS precision, round(n_tp / all_tp, 6)::DOUBLE AS recall, n_tp::BIGINT AS n_tp, n_fp::BIGINT AS n_fp FROM k WHERE all_tp > 0)"""
+_add("pr_curve", lambda s, d: curves.pr_curve(_samples(s, d)), f"WITH {_CURVE} SELECT * FROM c")
+_add("threshold_at_precision", lambda s, d: curves.threshold_at_precision(curves.pr_curve(_samples(s, d)), 0.5), f"WITH {_CURVE} SELECT round(min(threshold) FILTER (WHERE precision >= 0.5), 6) AS threshold FROM c")
+_add("f1_threshold", lambda s, d: curves.f1_threshold(curves.pr_curve(_samples(s, d))),
+     f"WITH {_CURVE}, f AS (SELECT *, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1 FROM c) SELECT round(threshold, 6) AS threshold, f1, precision, recall FROM f ORDER BY f1 DESC, threshold LIMIT 1")
+_MIRROR = _CURVE.replace("s AS (SELECT confidence::DOUBLE AS score, calibrator_action = 'confirmed' AS positive", "s AS (SELECT 1 - confidence::DOUBLE AS score, calibrator_action <> 'confirmed' AS positive").replace("c AS (", "mc AS (").replace(" p AS (", " mp AS (").replace("FROM p)", "FROM mp)").replace(" k AS (", " mk AS (").replace("FROM k ", "FROM mk ").replace("s AS (SELECT 1", "ms AS (SELECT 1").replace("FROM s GROUP", "FROM ms GROUP")
+_add("thresholds", lambda s, d: curves.thresholds(_samples(s, d), 0.5, 0.5),
+     f"""WITH {_CURVE}, {_MIRROR}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE positive) AS n_positive FROM s),
+ t AS (SELECT n, n_positive, CASE WHEN n >= 20 AND n_positive >= 10 THEN (SELECT round(min(threshold) FILTER (WHERE precision >= 0.5), 6) FROM c) END AS up,
+  CASE WHEN n >= 20 AND n - n_positive >= 10 THEN 1 - (SELECT round(min(threshold) FILTER (WHERE precision >= 0.5), 6) FROM mc) END AS down FROM n)
+ SELECT n, n_positive, round(CASE WHEN NOT (coalesce(down >= up, false) AND n - n_positive < n_positive) THEN down END, 6) AS suppress,
+  round(CASE WHEN NOT (coalesce(down >= up, false) AND n - n_positive >= n_positive) THEN up END, 6) AS boost FROM t""")
+
+# -- joins -------------------------------------------------------------------------
+
+_T = S.NORM.format(c="finding_title")
+_JOIN = rf"""{S.FB},
+ t AS (SELECT finding_title AS title, coalesce(file_path, '') AS path, {_T} AS norm, greatest(coalesce(tp_weight, 0), 0) AS tp_w, greatest(coalesce(fp_weight, 0), 0) AS fp_w FROM traces WHERE finding_title <> ''),
+ f AS (SELECT seq, v <> 'fp' AS positive, finding_title AS title, coalesce(file_path, '') AS path, {_T} AS norm FROM fb WHERE v IN ('tp', 'partial', 'fp') AND finding_title <> ''),
+ k1 AS (SELECT title, path, any_value(tp_w) / nullif(any_value(tp_w) + any_value(fp_w), 0) AS s1 FROM t WHERE path <> '' GROUP BY ALL HAVING count(*) = 1),
+ k2 AS (SELECT norm, path, any_value(tp_w) / nullif(any_value(tp_w) + any_value(fp_w), 0) AS s2 FROM t WHERE path <> '' AND norm <> '' GROUP BY ALL HAVING count(*) = 1),
+ k4 AS (SELECT title, any_value(tp_w) / nullif(any_value(tp_w) + any_value(fp_w), 0) AS s4 FROM t WHERE path = '' AND title NOT IN (SELECT title FROM t WHERE path <> '') GROUP BY ALL HAVING count(*) = 1),
+ k5 AS (SELECT norm, any_value(tp_w) / nullif(any_value(tp_w) + any_value(fp_w), 0) AS s5 FROM t WHERE path = '' AND norm <> '' AND norm NOT IN (SELECT norm FROM t WHERE path <> '') GROUP BY ALL HAVING count(*) = 1),
+ fw AS (SELECT DISTINCT path, norm, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS ws FROM f WHERE path <> '' AND norm <> ''),
+ tw AS (SELECT path, norm, tp_w, fp_w, list_distinct(list_filter(string_split(norm, ' '), lambda x: x <> '')) AS ws FROM t WHERE path <> '' AND norm <> ''),
+ j AS (SELECT fw.path, fw.norm, tw.tp_w, tw.fp_w, tw.norm AS cand, len(list_intersect(fw.ws, tw.ws)) / (len(fw.ws) + len(tw.ws) - len(list_intersect(fw.ws, tw.ws))) AS j FROM fw JOIN tw USING (path)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY path, norm ORDER BY j DESC, cand) AS rn, lead(j) OVER (PARTITION BY path, norm ORDER BY j DESC, cand) AS second FROM j),
+ k3 AS (SELECT path, norm, j AS best, coalesce(second, 0) AS second, tp_w / nullif(tp_w + fp_w, 0) AS s3 FROM r WHERE rn = 1),
+ a AS (SELECT f.seq, f.positive, f.norm, s1, s2, s3, s4, s5, best, second, CASE WHEN s1 IS NOT NULL THEN 'exact_raw' WHEN s2 IS NOT NULL THEN 'exact_normalized'
+   WHEN best >= 0.5 AND NOT (best - second >= 0.1) THEN 'ambiguous_skipped' WHEN best >= 0.5 AND s3 IS NOT NULL THEN 'fuzzy_same_file' WHEN s4 IS NOT NULL THEN 'raw_title_only' WHEN s5 IS NOT NULL THEN 'normalized_title_only'
+   WHEN best < 0.5 THEN 'below_threshold' ELSE 'unmatched' END AS tier
+  FROM f LEFT JOIN k1 USING (title, path) LEFT JOIN k2 ON k2.norm = f.norm AND k2.path = f.path LEFT JOIN k3 ON k3.norm = f.norm AND k3.path = f.path LEFT JOIN k4 ON k4.title = f.title LEFT JOIN k5 ON k5.norm = f.norm)"""
+_add("corpus_join_samples", lambda s, d: corpus_join.corpus_join(table(s, d, "feedback"), table(s, d, "traces")),
+     f"WITH {_JOIN} SELECT seq, positive, tier, round(CASE tier WHEN 'exact_raw' THEN s1 WHEN 'exact_normalized' THEN s2 WHEN 'fuzzy_same_file' THEN s3 WHEN 'raw_title_only' THEN s4 WHEN 'normalized_title_only' THEN s5 END, 6) AS score FROM a")
+_add("corpus_join_stats", lambda s, d: corpus_join.join_stats(table(s, d, "feedback"), table(s, d, "traces")), f"WITH {_JOIN} SELECT tier, count(*) AS n, count(*) FILTER (WHERE positive) AS n_positive FROM a GROUP BY tier")
+_add("backfill_paths", lambda s, d: corpus_join.backfill_paths(table(s, d, "traces"), table(s, d, "feedback")),
+     rf"""WITH f AS (SELECT finding_title AS title, {_T} AS norm, file_path FROM feedback WHERE finding_title <> '' AND file_path <> ''),
+ e AS (SELECT title, min(file_path) AS p1, count(DISTINCT file_path) AS n1 FROM f GROUP BY 1), n AS (SELECT norm, min(file_path) AS p2, count(DISTINCT file_path) AS n2 FROM f WHERE norm <> '' GROUP BY 1),
+ t AS (SELECT trace_no, coalesce(file_path, '') AS path, coalesce(finding_title, '') AS title, {S.NORM.format(c="coalesce(finding_title, '')")} AS norm, list_distinct(list_filter(list_transform(coalesce(matched_precedents, []), lambda p: p.file_path), lambda x: x IS NOT NULL AND x <> '')) AS own FROM traces),
+ a AS (SELECT *, CASE WHEN path <> '' THEN 'already_present' WHEN title = '' THEN 'no_match' WHEN n1 = 1 THEN 'feedback_exact' WHEN n2 = 1 THEN 'feedback_normalized' WHEN len(own) = 1 THEN 'precedent_inferred' WHEN n1 > 1 OR n2 > 1 THEN 'ambiguous' ELSE 'no_match' END AS source FROM t LEFT JOIN e USING (title) LEFT JOIN n ON n.norm = t.norm)
+ SELECT trace_no, CASE source WHEN 'already_present' THEN path WHEN 'feedback_exact' THEN p1 WHEN 'feedback_normalized' THEN p2 WHEN 'precedent_inferred' THEN own[1] END AS filled_path, source FROM a""")
+_add("suppression_apply", lambda s, d: corpus_join.suppress(table(s, d, "findings"), RULES).select("id", "rule_no"),
+     f"""SELECT id, CASE WHEN contains(lower(title), 'unwraps the') AND coalesce(regexp_matches(file_path, '^(?:.*/)?[^/]*\\.rs$'), false) THEN 1
+ WHEN contains(lower(title), 'cyclomatic complexity') AND {S.CATEGORY.format(c='category')} = 'performance' THEN 2 WHEN contains(lower(title), 'race on the shared') THEN 3
+ WHEN contains(lower(title), 'doc comment') AND coalesce(regexp_matches(file_path, '^src/[^/]*/[^/]*\\.py$'), false) THEN 4 END AS rule_no FROM findings""")
+
+# -- retrieval ---------------------------------------------------------------------
+
+
+def _doc_terms(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), retrieval.terms(F.col("text")).alias("terms"))
+    asked = docs.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "terms")
+    return asked, docs
+
+
+_BM25 = r"""d AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_:$]+') AS terms FROM documents),
+ q AS (SELECT DISTINCT id AS query_id, unnest(terms) AS term FROM d WHERE id % 50 = 0), l AS (SELECT count(*) AS n_docs, avg(len(terms)) AS avg_len FROM d),
+ o AS (SELECT id, len(terms) AS len, unnest(terms) AS term FROM d), p AS (SELECT term, id, count(*) AS tf, any_value(len) AS len FROM o WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+ x AS (SELECT term, id, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS part FROM p JOIN f USING (term), l),
+ b AS (SELECT query_id, id, round(sum(part), 6) AS score FROM x JOIN q USING (term) GROUP BY ALL), bk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b)"""
+_add("bm25_topk", lambda s, d: retrieval.bm25(*_doc_terms(s, d), 10), f"WITH {_BM25} SELECT query_id, id, score, rank::INT AS rank FROM bk WHERE rank <= 10")
+
+
+def _word_sets(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    asked = table(s, d, "traces").filter("trace_no % 50 = 0").select(F.col("trace_no").alias("query_id"), text.lower_tokens(F.coalesce("finding_title", F.lit(""))).alias("words"), text.category(F.col("finding_category")).alias("cat"))
+    held = table(s, d, "feedback").select(F.col("seq").alias("id"), text.lower_tokens(F.coalesce("finding_title", F.lit(""))).alias("words"), text.category(F.col("finding_category")).alias("cat"))
+    return asked, held
+
+
+_W = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce(finding_title, '')), '\s+'), lambda x: x <> ''))"
+_JAC = rf"""q AS (SELECT trace_no AS query_id, {_W} AS qw, {S.CATEGORY.format(c='finding_category')} AS qc FROM traces WHERE trace_no % 50 = 0),
+ e AS (SELECT seq AS id, {_W} AS ew, {S.CATEGORY.format(c='finding_category')} AS ec FROM feedback),
+ j AS (SELECT query_id, id, len(list_intersect(qw, ew)) AS n, round(0.6 * len(list_intersect(qw, ew)) / (len(qw) + len(ew) - len(list_intersect(qw, ew))) + CASE WHEN qc = ec THEN 0.4 ELSE 0 END, 6)::DOUBLE AS score FROM q, e),
+ jk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM j WHERE score > 0)"""
+_add("jaccard_topk", lambda s, d: retrieval.jaccard_search(*_word_sets(s, d), 10), f"WITH {_JAC} SELECT query_id, id, score, rank::INT AS rank FROM jk WHERE rank <= 10")
+
+
+def _knn(metric: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        held = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+        return retrieval.knn(held.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vec"), held, 10, metric)
+
+    return run
+
+
+_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
+for _metric, _value in (("cosine", _COS), ("l2", "1 - least(2.0, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2")):
+    _add(f"{_metric}_knn", _knn(_metric),
+         f"""WITH x AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_value}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) SELECT query_id, id, score, rank::INT AS rank FROM k WHERE rank <= 10""")
+
+
+def _fusion(s: SparkSession, d: str) -> DataFrame:
+    asked, docs = _doc_terms(s, d)
+    sets = lambda df, key: df.select(F.col(key), F.array_distinct("terms").alias("words"), F.lit(None).cast("string").alias("cat"))
+    return retrieval.reciprocal_rank_fusion([retrieval.bm25(asked, docs, 30), retrieval.jaccard_search(sets(asked, "query_id"), sets(docs, "id"), 30)], 10)
+
+
+_add("rrf_fusion", _fusion,
+     rf"""WITH {_BM25}, s AS (SELECT id, list_distinct(terms) AS ws FROM d), j AS (SELECT a.id AS query_id, b.id, len(list_intersect(a.ws, b.ws)) AS n, len(a.ws) + len(b.ws) AS m FROM s a, s b WHERE a.id % 50 = 0),
+ js AS (SELECT query_id, id, round(0.6 * n / (m - n), 6) AS score FROM j WHERE n > 0), jr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM js),
+ u AS (SELECT query_id, id, rank FROM bk WHERE rank <= 30 UNION ALL SELECT query_id, id, rank FROM jr WHERE rank <= 30), fu AS (SELECT query_id, id, sum(1 / (60 + rank)) AS s FROM u GROUP BY ALL),
+ z AS (SELECT query_id, id, round(s / max(s) OVER (PARTITION BY query_id), 6) AS score FROM fu), zk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z)
+ SELECT query_id, id, score, rank::INT AS rank FROM zk WHERE rank <= 10""")
+
+
+def _rerank_candidates(s: SparkSession, d: str) -> DataFrame:
+    asked, docs = _doc_terms(s, d)
+    meta = table(s, d, "documents").select("doc_id", "lang", "repo", "created_at")
+    hits = retrieval.bm25(asked, docs, 40).select("query_id", "id", F.col("score").alias("bm25"))
+    mine = meta.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("q_lang"), F.col("repo").alias("q_repo"))
+    return hits.join(mine, "query_id").join(meta, hits.id == meta.doc_id).select(
+        "query_id", "id", "bm25", F.lit(0.0).alias("vec"), (F.col("q_repo") == F.col("repo")).alias("exact"), (F.col("q_lang") == F.col("lang")).alias("same_lang"), F.col("created_at").alias("indexed_at"))
+
+
+_RERANK = f"""{_BM25}, h AS (SELECT query_id, id, score AS bm25 FROM bk WHERE rank <= 40),
+ m AS (SELECT h.*, a.repo = b.repo AS exact, a.lang = b.lang AS same_lang, epoch_us(b.created_at) AS at_us, min(bm25) OVER (PARTITION BY query_id) AS lo, max(bm25) OVER (PARTITION BY query_id) AS hi FROM h JOIN documents a ON a.doc_id = query_id JOIN documents b ON b.doc_id = id),
+ y AS (SELECT query_id, id, round((0.6 * CASE WHEN hi - lo < 1e-12 THEN CASE WHEN hi > 0 THEN 1.0 ELSE 0 END ELSE (bm25 - lo) / (hi - lo) END + CASE WHEN exact THEN 1.0 ELSE 0 END + CASE WHEN same_lang THEN 0.5 ELSE 0 END)
+  * greatest(exp(-ln(2.0) * greatest(0.0, ({NOW_US} - at_us) / 86400000000.0) / 90.0), 0.25), 6) AS score FROM m),
+ yk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM y)"""
+_add("hybrid_rerank", lambda s, d: retrieval.rerank(_rerank_candidates(s, d), NOW_US, 10), f"WITH {_RERANK} SELECT query_id, id, score, rank::INT AS rank FROM yk WHERE rank <= 10")
+
+
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    ranked = retrieval.rerank(_rerank_candidates(s, d), NOW_US, 20)
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), (F.col("doc_kind") == "rule").alias("is_symbol"))
+    return retrieval.pack(ranked.join(docs, "id"), budget=2000, most=8)
+
+
+_add("injection_packing", _packed,
+     rf"""WITH RECURSIVE {_RERANK}, k AS (SELECT yk.query_id, yk.id, (strlen(text) + 3) // 4 AS tokens, row_number() OVER (PARTITION BY yk.query_id ORDER BY doc_kind <> 'rule', yk.rank, yk.id) AS pos FROM yk JOIN documents ON doc_id = yk.id WHERE yk.rank <= 20),
+ w AS (SELECT query_id, id, pos, tokens, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 2000 THEN 1 ELSE 0 END AS n, tokens <= 2000 AS taken FROM k WHERE pos = 1
+  UNION ALL SELECT k.query_id, k.id, k.pos, k.tokens, w.used + CASE WHEN w.used + k.tokens <= 2000 AND w.n < 8 THEN k.tokens ELSE 0 END, w.n + CASE WHEN w.used + k.tokens <= 2000 AND w.n < 8 THEN 1 ELSE 0 END, w.used + k.tokens <= 2000 AND w.n < 8
+  FROM w JOIN k ON k.query_id = w.query_id AND k.pos = w.pos + 1)
+ SELECT query_id, id::VARCHAR AS id, n::INT AS place, tokens::BIGINT AS tokens FROM w WHERE taken""")
+
+_WEIGHTS = {"cobalt-scheduler": 2.0, "amber-notifier": 1.5, "birch-vault": 1.0}
+_RANKED = "CASE source WHEN 'cobalt-scheduler' THEN 2.0 WHEN 'amber-notifier' THEN 1.5 WHEN 'birch-vault' THEN 1.0 ELSE 0.0 END"
+_add("precedence_dedup", lambda s, d: retrieval.precedence(table(s, d, "chunks"), _WEIGHTS),
+     f"""WITH c AS (SELECT *, {_RANKED} AS w FROM chunks), g AS (SELECT qualified_name, count(*) AS n, max(w) AS hi, min(w) AS lo, max(indexed_at) AS late, min(indexed_at) AS early FROM c WHERE qualified_name IS NOT NULL GROUP BY 1),
+ r AS (SELECT qualified_name, id, row_number() OVER (PARTITION BY qualified_name ORDER BY w DESC, indexed_at DESC, source, id) AS rn FROM c WHERE qualified_name IS NOT NULL)
+ SELECT qualified_name, id, n - 1 AS n_dropped, CASE WHEN n = 1 THEN 'only' WHEN hi > lo THEN 'weight' WHEN late > early THEN 'recency' ELSE 'name' END AS reason FROM r JOIN g USING (qualified_name) WHERE rn = 1
+ UNION ALL SELECT NULL, id, 0, 'unnamed' FROM c WHERE qualified_name IS NULL""")
+_add("chunk_threshold", lambda s, d: retrieval.chunk_thresholds(table(s, d, "chunks"), kpi.misleading_chunks(table(s, d, "feedback"))),
+     f"WITH {_MISLED}, n AS (SELECT chunk_id, count(*) AS n FROM m GROUP BY 1) SELECT id, coalesce(n, 0) AS n, round(CASE WHEN coalesce(n, 0) < 3 THEN 0.2 + coalesce(n, 0) * (1 - 0.2) / 3 END, 6)::DOUBLE AS threshold FROM chunks LEFT JOIN n ON chunk_id = id")
+
+# -- calibration -------------------------------------------------------------------
+
+_AGE = f"abs(({NOW_US} - epoch_us(ts)) // 86400000000)"
+_PREC = rf"""{S.FB}, pr AS (SELECT seq, finding_title AS title, finding_category AS raw_category, {S.CATEGORY.format(c='finding_category')} AS cat, v, tier,
+ CASE tier WHEN 'post_fix' THEN 1.5 WHEN 'human' THEN 1.0 WHEN 'external' THEN 0.7 WHEN 'auto_calibrate' THEN 0.5 ELSE 0.3 END
+ * exp(-abs(trunc(({NOW_US} - epoch_us(ts)) / 86400000000.0)) / CASE WHEN v = 'fp' AND coalesce(contains(lower(fp_kind), 'trust'), false) THEN 40.0 ELSE 120.0 END) AS w
+ FROM fb WHERE v IS NOT NULL AND finding_title IS NOT NULL AND ts IS NOT NULL AND NOT (v = 'fp' AND coalesce(contains(regexp_replace(lower(fp_kind), '[^a-z]', '', 'g'), 'outofscope'), false)))"""
+
+
+def _cap(of: str) -> str:
+    part = lambda cond: f"coalesce(sum(w) FILTER (WHERE v IN ({of}) AND {cond}), 0)"
+    return f"least({part(chr(39).join(['tier = ', 'auto_calibrate', '']))}, 1.0) + least({part(chr(39).join(['tier = ', 'external', '']))}, 1.4) + " + part("tier NOT IN ('auto_calibrate', 'external')")
+
+
+_add("decay_weights", lambda s, d: calibration.precedents(table(s, d, "feedback"), NOW_US).select("seq", "v", "tier", F.round("w", 6).alias("w")), f"WITH {_PREC} SELECT seq, v, tier, round(w, 6) AS w FROM pr")
+_add("capped_vote", lambda s, d: calibration.votes_by_title(table(s, d, "feedback"), NOW_US),
+     f"WITH {_PREC} SELECT title, count(*) AS n, round({_cap(chr(39) + 'tp' + chr(39) + ', ' + chr(39) + 'partial' + chr(39))}, 6)::DOUBLE AS tp, round({_cap(chr(39) + 'fp' + chr(39))}, 6)::DOUBLE AS fp, round({_cap(chr(39) + 'wontfix' + chr(39))}, 6)::DOUBLE AS wontfix FROM pr GROUP BY title")
+_PHRASE = lambda ps: "regexp_matches(hay, '(?:^|[^\\p{L}\\p{N}])(?:" + "|".join(p.replace("-", "[-]") for p in ps) + ")(?:[^\\p{L}\\p{N}]|$)')"
+_EDGE = r"list_distinct(list_filter(list_transform(regexp_split_to_array(title, '\s+'), lambda x: lower(regexp_replace(regexp_replace(x, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', ''))), lambda x: x <> ''))"
+_add("calibrate_decisions", lambda s, d: calibration.calibrate(table(s, d, "findings"), table(s, d, "feedback"), NOW_US),
+     rf"""WITH {_PREC},
+ ft AS (SELECT DISTINCT title, {_EDGE} AS ws FROM findings), pt AS (SELECT DISTINCT title, {_EDGE} AS ws FROM pr),
+ fi AS (SELECT title AS a, len(ws) AS na, unnest(ws) AS x FROM ft), pi AS (SELECT title AS b, len(ws) AS nb, unnest(ws) AS x FROM pt),
+ ov AS (SELECT a, b, count(*) AS k, any_value(na) AS na, any_value(nb) AS nb FROM fi JOIN pi USING (x) GROUP BY ALL),
+ tj AS (SELECT a, b, k / (na + nb - k) AS j, try_cast(regexp_extract(lower(a), '^.*?complexity (\d+)', 1) AS INT) AS ma, try_cast(regexp_extract(lower(b), '^.*?complexity (\d+)', 1) AS INT) AS mb FROM ov),
+ mt AS (SELECT f.id, pr.v, pr.tier, pr.w, (3 * j + CASE WHEN coalesce(raw_category, '') <> '' AND {S.CATEGORY.format(c='f.category')} = pr.cat THEN 2 ELSE 0 END) / 5 AS s
+  FROM tj JOIN findings f ON f.title = a JOIN pr ON pr.title = b WHERE ((ma IS NULL AND mb IS NULL) OR coalesce(abs(ma - mb) <= 2, false))),
+ vt AS (SELECT id, count(*) AS n_precedents, {_cap("'tp', 'partial'")} AS tp, {_cap("'fp'")} AS fp, {_cap("'wontfix'")} AS wontfix FROM mt WHERE s >= 0.5 - 1e-12 GROUP BY id),
+ b AS (SELECT f.id, severity, lower(concat_ws(' ', title, description)) AS hay, {S.CATEGORY.format(c='category')} AS cat, list_position(['info', 'low', 'medium', 'high', 'critical'], lower(severity)) - 1 AS rank,
+  coalesce(n_precedents, 0) AS n_precedents, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(wontfix, 0) AS wontfix FROM findings f LEFT JOIN vt USING (id)),
+ g AS (SELECT *, n_precedents > 0 AND fp >= 1.5 AND fp > 2 * tp AS gone FROM b),
+ h AS (SELECT *, n_precedents > 0 AND NOT gone AND ((fp >= 1 AND fp > 2 * tp) OR (fp >= 0.5 AND tp < 0.1)) AS demoted, n_precedents > 0 AND NOT gone AND tp >= 1.5 AND tp > 2 * fp AS wants FROM g),
+ i AS (SELECT *, CASE WHEN demoted THEN 0 ELSE rank END AS start FROM h), o AS (SELECT *, least(start + 1, 4) AS target FROM i),
+ q AS (SELECT *, CASE target WHEN 4 THEN {_PHRASE(calibration.CRITICAL_PHRASES)} WHEN 3 THEN cat IN ('security', 'correctness', 'logic', 'concurrency', 'reliability', 'robustness', 'error-handling', 'validation') OR {_PHRASE(calibration.HIGH_PHRASES)} ELSE true END AS allowed FROM o)
+ SELECT id, severity AS input_severity, ['info', 'low', 'medium', 'high', 'critical'][(CASE WHEN gone THEN rank WHEN wants AND allowed THEN target ELSE start END) + 1] AS output_severity,
+  CASE WHEN gone THEN 'disputed' WHEN wants THEN 'confirmed' WHEN demoted THEN 'disputed' WHEN n_precedents > 0 AND tp > 1.5 * fp THEN 'confirmed' END AS action,
+  CASE WHEN n_precedents = 0 THEN 'no_match' WHEN gone THEN 'disputed' WHEN wants AND allowed THEN 'boosted' WHEN wants THEN 'boost_blocked_by_gate' WHEN demoted THEN 'disputed' ELSE 'boost_weight_too_low' END AS reason,
+  gone AS suppressed, round(tp, 4)::DOUBLE AS tp, round(fp, 4)::DOUBLE AS fp, round(wontfix, 4)::DOUBLE AS wontfix, n_precedents FROM q""")
+
+# -- scalars -----------------------------------------------------------------------
+
+_add("normalize_title", lambda s, d: table(s, d, "feedback").select("seq", text.normalize_title(F.col("finding_title")).alias("norm")), f"SELECT seq, {_T} AS norm FROM feedback")
+_add("category_normalize", lambda s, d: table(s, d, "findings").select("id", text.category(F.col("category")).alias("cat")), f"SELECT id, {S.CATEGORY.format(c='category')} AS cat FROM findings")
+_HAY = "lower(concat_ws(' ', title, description, category))"
+_add("classify_pattern", lambda s, d: table(s, d, "findings").select("id", text.classify_pattern(F.col("title"), F.col("description"), F.col("category")).alias("pattern")),
+     "SELECT id, CASE " + " ".join("WHEN " + " OR ".join(f"contains({_HAY}, '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in text.PATTERN_KEYWORDS) + " END AS pattern FROM findings")
+
+
+def _redact_sql() -> str:
+    out = "content"
+    for pattern, put in text.SECRET_PATTERNS:
+        pattern, put = pattern.replace("'", "''"), put.replace("'", "''")
+        for n in "123":
+            put = put.replace(f"${n}", f"\\{n}")
+        out = f"regexp_replace({out}, '{pattern}', '{put}', 'g')"
+    return f"SELECT id, md5({out}) AS redacted FROM chunks"
+
+
+_add("redact_secrets", lambda s, d: table(s, d, "chunks").select("id", F.md5(text.redact_secrets(F.col("content"))).alias("redacted")), _redact_sql())
+_add("decoded_enums", lambda s, d: table(s, d, "feedback").select("seq", verdict(F.col("verdict")).alias("v"), provenance_kind(F.col("provenance")).alias("tier"), F.when(provenance_kind(F.col("provenance")) == "external", F.substring(annotator(F.col("provenance")), 10, 100)).alias("agent")),
+     f"WITH {S.FB} SELECT seq, v, tier, agent FROM fb")
+_add("identifiers_harvest", lambda s, d: table(s, d, "findings").select("id", F.array_join(text.backtick_identifiers(F.col("title")), "|").alias("names")),
+     r"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(title, '`([^`]+)`', 1), lambda x: regexp_replace(x, '\(\)$', '')), lambda x: strlen(x) >= 4), '|') AS names FROM findings")
+_add("token_estimates", lambda s, d: table(s, d, "chunks").select("id", text.token_estimate(F.col("content")).alias("tokens")), "SELECT id, ((strlen(content) + 3) // 4)::BIGINT AS tokens FROM chunks")
+_add("merge_findings", lambda s, d: merging.merge_findings(table(s, d, "findings")))
+
+# -- schema drift ------------------------------------------------------------------
+
+_add("p3_found", lambda s, d: schema_drift.changes(table(s, d, "raw_lines")), schema_drift.oracle_changes())
+_add("p3_islands", lambda s, d: schema_drift.islands(table(s, d, "raw_lines")))
+_add("p3_consistent", lambda s, d: schema_drift.consistent(table(s, d, "raw_lines")))
