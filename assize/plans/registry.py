@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.records import annotator, provenance_kind, verdict
-from ..operators import calibration, corpus_join, curves, kpi, merging, retrieval, schema_drift, trends
-from ..storage import table
+from ..operators import calibration, corpus_join, curves, documents, kpi, merging, retrieval, scanning, schema_drift, trends
+from ..sources import logs
+from ..storage import shared_dir, table
+from ..streaming import inbox
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,6 +343,30 @@ _add("identifiers_harvest", lambda s, d: table(s, d, "findings").select("id", F.
 _add("token_estimates", lambda s, d: table(s, d, "chunks").select("id", text.token_estimate(F.col("content")).alias("tokens")), "SELECT id, ((strlen(content) + 3) // 4)::BIGINT AS tokens FROM chunks")
 _add("merge_findings", lambda s, d: merging.merge_findings(table(s, d, "findings")))
 
+# -- code and documents --------------------------------------------------------------
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").select(F.col("id").alias("path"), scanning.language(F.col("source_path")).alias("lang"), F.col("content").alias("text"))
+
+
+_add("rule_scan", lambda s, d: scanning.scan(_files(s, d)))
+_add("extracted_symbols", lambda s, d: documents.extract(_files(s, d)))
+_add("chunk_faults", lambda s, d: logs.validate_chunks(table(s, d, "chunks")),
+     r"""SELECT id, unnest(list_filter([CASE WHEN NOT regexp_matches(coalesce(id, ''), '\S') THEN 'empty id' END, CASE WHEN NOT regexp_matches(coalesce(source, ''), '\S') THEN 'empty source' END,
+ CASE WHEN NOT regexp_matches(coalesce(content, ''), '\S') THEN 'empty content' END, CASE WHEN line_start < 1 OR line_end < line_start THEN 'line range' END,
+ CASE WHEN isnan(confidence) OR confidence < 0 OR (confidence > 1 AND NOT isnan(confidence)) THEN 'confidence' END], lambda x: x IS NOT NULL)) AS fault FROM chunks
+ UNION ALL SELECT id, 'duplicate id' FROM chunks GROUP BY id HAVING count(*) > 1""")
+
+# -- streaming ---------------------------------------------------------------------
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    return inbox.feedback_counts_by_stream(s, table(s, d, "feedback"), f"{shared_dir(s)}/assize/stream-{uuid.uuid4().hex}")
+
+
+_add("inbox_stream_counts", _streamed, f"WITH {S.FB} SELECT v, tier, count(*) AS n FROM fb GROUP BY ALL")
+
 # -- schema drift ------------------------------------------------------------------
 
 _add("p3_found", lambda s, d: schema_drift.changes(table(s, d, "raw_lines")), schema_drift.oracle_changes())
