@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import age_days
-from ..functions.text import any_of, category, edge_tokens, jaccard, metric_compatible, severity_name, severity_rank, word_boundary_regex
+from ..functions.text import any_of, category, edge_tokens, jaccard, lower_tokens, metric_compatible, severity_name, severity_rank, word_boundary_regex
 from ..storage import materialize
 from .kpi import typed
 
@@ -78,48 +78,73 @@ def rubric_allows(rank: Column, title: Column, description: Column, cat: Column)
     return F.when(rank == 4, says(CRITICAL_PHRASES)).when(rank == 3, free | says(HIGH_PHRASES)).otherwise(F.lit(True))
 
 
-def similar_precedents(findings: DataFrame, precedent: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``id, seq, similarity`` of every finding and precedent with (3 title + 2 category) / 5 of at least ``threshold``.
+def _similar_titles(mine: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
+    """``a, b, j`` of texts (``text, ws``) whose word sets have a similarity of at least ``least``.
 
-    A pair at the threshold has a title similarity of at least
-    t = (5 threshold - 2) / 3, so it shares a word among the rarest of either
-    title; pairs meet by such words, over distinct titles on both sides.
+    Such texts share a word among the rarest of either side; pairs meet by these words only.
     """
-    least = (5 * threshold - 2) / 3
-    if least <= 0:
-        raise ValueError("a threshold of 0.4 or less would make every pair of a category similar")
-    asked = materialize(findings.select("id", F.col("title"), category(F.col("category")).alias("cat")).filter("title IS NOT NULL"), "asked")
-    mine = asked.select("title").distinct().withColumn("ws", edge_tokens(F.col("title")))
-    theirs = precedent.select("title").distinct().withColumn("ws", edge_tokens(F.col("title")))
     mine, theirs = materialize(mine, "mine"), materialize(theirs, "theirs")
     df = mine.select(F.explode("ws").alias("w")).unionByName(theirs.select(F.explode("ws").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
-        place = Window.partitionBy("title").orderBy("df", "w")
-        rows = side.select("title", F.size("ws").alias("size"), F.explode("ws").alias("w")).join(df, "w").withColumn("rn", F.row_number().over(place))
-        return rows.filter(F.col("rn") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).select("w", F.col("title").alias(name))
+        place = Window.partitionBy("text").orderBy("df", "w")
+        rows = side.select("text", F.size("ws").alias("size"), F.explode("ws").alias("w")).join(df, "w").withColumn("rn", F.row_number().over(place))
+        return rows.filter(F.col("rn") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).select("w", F.col("text").alias(name))
 
-    titles = (
+    return (
         prefix(mine, "a")
         .join(prefix(theirs, "b"), "w")
         .select("a", "b")
         .distinct()
-        .join(mine.select(F.col("title").alias("a"), F.col("ws").alias("wa")), "a")
-        .join(theirs.select(F.col("title").alias("b"), F.col("ws").alias("wb")), "b")
+        .join(mine.select(F.col("text").alias("a"), F.col("ws").alias("wa")), "a")
+        .join(theirs.select(F.col("text").alias("b"), F.col("ws").alias("wb")), "b")
         .select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("j"))
         .filter(F.col("j") >= least - 1e-9)
-        .filter(metric_compatible(F.col("a"), F.col("b")))
     )
+
+
+def similar_precedents(findings: DataFrame, precedent: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``id, seq, v, tier, w, similarity`` of every finding and precedent with (3 title + 2 category) / 5 of at least ``threshold``."""
+    least = (5 * threshold - 2) / 3
+    if least <= 0:
+        raise ValueError("a threshold of 0.4 or less would make every pair of a category similar")
+    asked = materialize(findings.select("id", F.col("title"), category(F.col("category")).alias("cat")).filter("title IS NOT NULL"), "asked")
+    words = lambda df: df.select(F.col("title").alias("text")).distinct().withColumn("ws", edge_tokens(F.col("text")))
+    titles = _similar_titles(words(asked), words(precedent), least).filter(metric_compatible(F.col("a"), F.col("b")))
     score = (3 * F.col("j") + F.when(F.col("fc") == F.col("pc"), 2.0).otherwise(0.0)) / 5
     return (
         titles.join(asked.select("id", F.col("title").alias("a"), F.col("cat").alias("fc")), "a")
         .join(precedent.select("seq", F.col("title").alias("b"), F.when(F.coalesce("raw_category", F.lit("")) != "", F.col("cat")).alias("pc"), "v", "tier", "w"), "b")
         .withColumn("similarity", score)
-        .filter(F.col("similarity") >= threshold)
+        .filter(F.col("similarity") >= threshold - 1e-9)
         .select("id", "seq", "v", "tier", "w", F.round("similarity", 6).alias("similarity"))
     )
 
 
+def ranked_precedents(findings: DataFrame, precedent: DataFrame, threshold: float = 0.72, k: int = 50) -> DataFrame:
+    """The index variant: up to ``k`` precedents of 0.6 text + 0.4 category, weights scaled by similarity.
+
+    The text asked is title, description and first evidence; the category of a
+    precedent counts as it was written.
+    """
+    least = (threshold - 0.4) / 0.6
+    if least <= 0:
+        raise ValueError("a threshold of 0.4 or less would make every pair of a category similar")
+    text = F.concat_ws(" ", "title", "description", F.get("evidence", 0))
+    asked = materialize(findings.filter("title IS NOT NULL").select("id", "title", text.alias("text"), category(F.col("category")).alias("cat")), "asked")
+    words = lambda df, c: df.select(F.col(c).alias("text")).distinct().withColumn("ws", lower_tokens(F.col("text")))
+    pairs = (
+        _similar_titles(words(asked, "text"), words(precedent, "title"), least)
+        .join(asked.select("id", F.col("text").alias("a"), F.col("title").alias("t"), F.col("cat").alias("fc")), "a")
+        .filter(metric_compatible(F.col("t"), F.col("b")))
+        .join(precedent.select("seq", F.col("title").alias("b"), "raw_category", "v", "tier", "w"), "b")
+        .withColumn("similarity", 0.6 * F.col("j") + F.when(F.col("fc") == F.col("raw_category"), 0.4).otherwise(0.0))
+    )
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "seq")
+    top = pairs.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("similarity") >= threshold - 1e-9))
+    return top.select("id", "seq", "v", "tier", (F.col("w") * F.col("similarity")).alias("w"), F.round("similarity", 6).alias("similarity"))
+
+
 def decide(findings: DataFrame, matched: DataFrame, suppress_below: float | None = None, boost_from: float | None = None) -> DataFrame:
     """One row per finding: weights, action, severities, reason, and whether it is suppressed.
 
@@ -154,6 +179,18 @@ def decide(findings: DataFrame, matched: DataFrame, suppress_below: float | None
     )
 
 
-def calibrate(findings: DataFrame, feedback: DataFrame, now_us: int, threshold: float = 0.5, suppress_below: float | None = None, boost_from: float | None = None) -> DataFrame:
+def calibrate(findings: DataFrame, feedback: DataFrame, now_us: int, threshold: float | None = None, suppress_below: float | None = None, boost_from: float | None = None, index: bool = False) -> DataFrame:
+    """Decisions for all findings; ``index`` takes the ranked variant of precedents."""
     known = materialize(precedents(feedback, now_us), "precedents")
-    return decide(findings, similar_precedents(findings, known, threshold), suppress_below, boost_from)
+    matched = ranked_precedents(findings, known, threshold or 0.72) if index else similar_precedents(findings, known, threshold or 0.5)
+    return decide(findings, matched, suppress_below, boost_from)
+
+
+def few_shot(matched: DataFrame) -> DataFrame:
+    """Up to three examples per finding: at most two true ones, then false ones, then more true ones; by similarity, then seq."""
+    known = matched.filter("similarity >= 0.6 AND tier IN ('human', 'post_fix') AND v IN ('tp', 'fp')")
+    own = Window.partitionBy("id", "v").orderBy(F.desc("similarity"), "seq")
+    placed = known.withColumn("n", F.row_number().over(own))
+    turn = F.when((F.col("v") == "tp") & (F.col("n") <= 2), 0).when(F.col("v") == "fp", 1).otherwise(2)
+    order = Window.partitionBy("id").orderBy(turn, F.desc("similarity"), "seq")
+    return placed.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("id", "place", "seq", "v", "similarity")
