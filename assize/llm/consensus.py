@@ -50,21 +50,24 @@ def _posterior(cast: DataFrame, people: DataFrame, prior: DataFrame, labels: tup
     return scored.select("fid", *[(F.exp(F.col(f"l_{k}") - top) / total).alias(f"p_{k}") for k in ks])
 
 
-def _initial(cast: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    people = cast.select("who").distinct().select("who", F.lit(0.8).alias("competence"), *[F.lit(1.0 / k).alias(f"g_{i}") for i in range(k)])
+def _initial(cast: DataFrame, labels: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Everyone is truthful half of the time and else guesses as they vote, so a vote that its annotator always gives says little."""
+    k = len(labels)
+    people = cast.groupBy("who").agg(
+        F.lit(0.5).alias("competence"), *[((F.count_if(F.col("label") == v) + 0.5) / (F.count("*") + 0.5 * k)).alias(f"g_{i}") for i, v in enumerate(labels)]
+    )
     prior = cast.sparkSession.range(1).select(*[F.lit(1.0 / k).alias(f"prior_{i}") for i in range(k)])
-    return people, prior
+    return materialize(people.coalesce(1), "annotators"), prior
 
 
 def fit(cast: DataFrame, labels: tuple[str, ...] = VERDICTS, iterations: int = 20, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """Posterior per item and parameters per annotator.
 
-    Starts at equal competence, so the first step is a majority vote, and ends
-    when no competence moves by more than ``tolerance``. Smoothing keeps every
+    Ends when no competence moves by more than ``tolerance``. Smoothing keeps every
     parameter inside (0, 1), so single votes and unanimous annotators are safe.
     """
     ks = range(len(labels))
-    people, prior = _initial(cast, len(labels))
+    people, prior = _initial(cast, labels)
     for _ in range(iterations):
         post = materialize(_posterior(cast, people, prior, labels), "labels")
         joined = cast.join(people, "who").join(post, "fid")
