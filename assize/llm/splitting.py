@@ -36,7 +36,7 @@ ENDINGS = {
 
 #: What begins a top-level unit, at the start of a line, by language.
 UNITS = {
-    "rust": r'(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|const|unsafe|extern(?:\s+"[^"]*")?)\s+)*(?:fn|struct|enum|union|trait|impl|type|static|const|mod)\b(?!\s+\w+;)|macro_rules!',
+    "rust": r'(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|async|const|unsafe|extern(?:\s+"[^"]*")?)\s+)*(?:(?:fn|struct|enum|union|trait|impl|type|static|const)\b|mod\b(?!\s+\w+;))|macro_rules!',
     "python": r"(?:async\s+def|def|class)\b|if\s+__name__\b|[A-Za-z_]\w*\s*(?::[^=]+)?=[^=]",
     "typescript": r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\b|class\b|interface\b|type\s+\w+|enum\b|namespace\b|module\b|(?:const|let|var)\s)|export\s+default\b",
     "go": r"(?:func|type|var|const)\b",
