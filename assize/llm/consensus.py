@@ -26,9 +26,8 @@ def votes(feedback: DataFrame) -> DataFrame:
     Rows without a readable verdict or annotator are no votes. Later
     timestamps win (one after its arrival counts as the oldest), then smaller seq.
     """
-    rows = finding_rows(feedback, "verdict", "provenance").select(
-        "fid", "seq", "us", annotator(F.col("provenance")).alias("who"), verdict(F.col("verdict")).alias("label")
-    )
+    decoded = feedback.withColumns({"__who": annotator(F.col("provenance")), "__label": verdict(F.col("verdict"))})
+    rows = finding_rows(decoded, "__who", "__label").withColumnsRenamed({"__who": "who", "__label": "label"})
     return (
         rows.filter(F.col("who").isNotNull() & F.col("label").isNotNull())
         .groupBy("fid", "who")

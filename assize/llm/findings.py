@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import effective_micros, trust_rank, usable_finding_id
+from ..storage import materialize
 
 #: Columns in which a row without a usable id must equal a row that has one.
 SAME_ROW = ("file_path", "finding_title", "reason", "ts")
@@ -14,6 +15,8 @@ SAME_ROW = ("file_path", "finding_title", "reason", "ts")
 def finding_rows(feedback: DataFrame, *extra: str) -> DataFrame:
     """One row per (finding, feedback row): ``fid, seq, trust, us`` and the ``extra`` columns.
 
+    The feedback is read and decoded once; what follows reads the written rows.
+
     A row with a usable id belongs to that finding. A row without one belongs
     to every finding that has a row equal to it in all of ``SAME_ROW`` (nulls
     equal nulls), and to none if there is no such finding. Only the named
@@ -25,15 +28,11 @@ def finding_rows(feedback: DataFrame, *extra: str) -> DataFrame:
         F.col("seq"),
         trust_rank(F.col("provenance")).alias("trust"),
         effective_micros(F.col("ts"), F.col("received_at")).alias("us"),
-        F.struct(*SAME_ROW).alias("same"),
+        F.md5(F.to_json(F.struct(*SAME_ROW))).alias("same"),  # nulls are left out of the text, so null differs from ''
         *[F.col(c).alias(f"x_{c}") for c in extra],
     )
+    keyed = materialize(keyed, "keyed")
     own = keyed.filter(F.col("fid").isNotNull())
-    known = own.select(F.col("fid").alias("of"), F.col("same").alias("like")).distinct()
-    lost = (
-        keyed.filter(F.col("fid").isNull())
-        .join(known, F.col("same").eqNullSafe(F.col("like")))
-        .withColumn("fid", F.col("of"))
-        .select(keyed.columns)
-    )
+    known = own.select("fid", "same").distinct()
+    lost = keyed.filter(F.col("fid").isNull()).drop("fid").join(known, "same").select(keyed.columns)
     return own.unionByName(lost).select("fid", "seq", "trust", "us", *[F.col(f"x_{c}").alias(c) for c in extra])

@@ -37,4 +37,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": near_duplicates.FOUND_SQL, "p8_found": leakage.FOUND_SQL, "p10_found": repetition.FOUND_SQL}
+    return {"p1_found": survivors.FOUND_SQL, "p2_found": near_duplicates.FOUND_SQL, "p8_found": leakage.FOUND_SQL, "p10_found": repetition.FOUND_SQL}
