@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import embedding, numbers, prompt, text
 from ..functions.records import annotator, provenance_kind, verdict
-from ..operators import calibration, corpus_join, curves, documents, kpi, merging, retrieval, scanning, schema_drift, trends
+from ..operators import calibration, context, corpus_join, curves, documents, hydration, kpi, merging, retrieval, scanning, schema_drift, trends
 from ..sources import logs
 from ..storage import materialize, shared_dir, table
 from ..streaming import inbox
@@ -361,6 +361,50 @@ _add("chunk_faults", lambda s, d: logs.validate_chunks(table(s, d, "chunks")),
  CASE WHEN isnan(confidence) OR confidence < 0 OR (confidence > 1 AND NOT isnan(confidence)) THEN 'confidence' END], lambda x: x IS NOT NULL)) AS fault FROM chunks
  UNION ALL SELECT id, 'duplicate id' FROM chunks GROUP BY id HAVING count(*) > 1""")
 
+_add("path_words", lambda s, d: table(s, d, "chunks").select("id", F.array_join(prompt.path_words(F.col("source_path")), "|").alias("words")),
+     r"""SELECT id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(source_path, '\.[^./\\]*$', ''), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[/\\_-]+'),
+ lambda x: strlen(x) >= 3 AND NOT list_contains(['src', 'lib', 'tests', 'test', 'mod', 'main', 'rs', 'py', 'ts', 'js', 'tsx', 'jsx', 'mjs', 'cjs', 'yaml', 'yml', 'sh', 'bash', 'zsh', 'tf', 'tfvars'], lower(x))), '|') AS words FROM chunks""")
+_add("content_hashes", lambda s, d: table(s, d, "chunks").groupBy(F.sha2("content", 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")),
+     "SELECT sha256(content) AS sha256, count(*) AS n, min(id) AS first_id FROM chunks GROUP BY 1")
+_add("display_formats", lambda s, d: table(s, d, "reviews").select("run_id", "received_at", numbers.count_text(F.col("tokens_in")).alias("tokens"), numbers.duration_text(F.col("duration_ms")).alias("took"),
+     prompt.bar(F.col("tokens_out").cast("double"), F.lit(5000.0)).alias("bar"), prompt.age_text((F.lit(NOW_US) - F.unix_micros("reviewed_at")) / 1_000_000).alias("age")).drop("received_at"),
+     f"""SELECT run_id, CASE WHEN tokens_in >= 1000000 THEN printf('%.1fM', tokens_in / 1000000.0) WHEN tokens_in >= 1000 THEN printf('%.1fk', tokens_in / 1000.0) ELSE tokens_in::VARCHAR END AS tokens,
+ CASE WHEN duration_ms < 4000 THEN duration_ms || 'ms' ELSE printf('%.1fs', duration_ms / 1000.0) END AS took,
+ repeat('█', round(least(1, tokens_out / 5000.0) * 10)::INT) || repeat('·', 10 - round(least(1, tokens_out / 5000.0) * 10)::INT) AS bar,
+ CASE WHEN a < 0 THEN 'just now' WHEN a >= 86400 THEN (a // 86400)::BIGINT || 'd' WHEN a >= 3600 THEN (a // 3600)::BIGINT || 'h' WHEN a >= 120 THEN (a // 60)::BIGINT || 'm' ELSE 'just now' END AS age
+ FROM (SELECT *, ({NOW_US} - epoch_us(reviewed_at)) // 1000000 AS a FROM reviews)""")
+_add("severity_shift", lambda s, d: table(s, d, "findings").select("id", text.severity_name(F.least(text.severity_rank(F.col("severity")) + 1, F.lit(4))).alias("raised"), text.severity_name(F.greatest(text.severity_rank(F.col("severity")) - 1, F.lit(0))).alias("lowered")),
+     "SELECT id, ['info', 'low', 'medium', 'high', 'critical'][least(list_position(['info', 'low', 'medium', 'high', 'critical'], severity) + 1, 5)] AS raised, ['info', 'low', 'medium', 'high', 'critical'][greatest(list_position(['info', 'low', 'medium', 'high', 'critical'], severity) - 1, 1)] AS lowered FROM findings")
+_add("trace_filter", lambda s, d: table(s, d, "traces").filter(corpus_join.accepts(F.col("provenance"), repo="ember-console", clean_only=True)).select("trace_no"),
+     "SELECT trace_no FROM traces WHERE json_extract_string(provenance, '$.repo') = 'ember-console' AND json_extract_string(provenance, '$.dirty') = 'false'")
+_add("orphan_sources", lambda s, d: hydration.orphans(table(s, d, "reviews").select(F.col("repo").alias("name")).filter("name IS NOT NULL"), table(s, d, "chunks").select(F.col("source").alias("name")), "name"),
+     "SELECT DISTINCT source AS name, 'orphan' AS side FROM chunks WHERE source NOT IN (SELECT repo FROM reviews WHERE repo IS NOT NULL) UNION ALL SELECT DISTINCT repo, 'missing' FROM reviews WHERE repo NOT IN (SELECT source FROM chunks)")
+
+
+def _calls(s: SparkSession, d: str) -> DataFrame:
+    """Calls in chunks with the function around them."""
+    files = _files(s, d).filter("lang IN ('python', 'rust', 'typescript', 'go')")
+    functions = documents.extract(files).filter("kind IN ('def', 'fn', 'function', 'func')").select("path", "name", F.col("line_start").alias("first"), F.col("line_end").alias("last"))
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line_text"))
+    calls = lines.select("path", (F.col("pos") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(r"\b([A-Za-z_]\w*)\("), F.lit(1)))).alias("callee"))
+    return hydration.callers(calls, functions)
+
+
+_add("call_sites", _calls)
+
+
+def _chunk_cards(s: SparkSession, d: str) -> DataFrame:
+    """Chunks nearest to the held-out passages by hashed vectors, packed and rendered."""
+    chunks = table(s, d, "chunks")
+    vectors = materialize(chunks.select("id", embedding.embedding(F.col("content"), 64).alias("vec")), "vectors")
+    asked = table(s, d, "bench_passages").select(F.col("passage_id").alias("query_id"), embedding.embedding(F.col("text"), 64).alias("vec"))
+    hits = materialize(retrieval.knn(asked, vectors, 5), "hits")
+    ranked = hits.join(chunks.select("id", "content", (F.col("chunk_kind") != "doc").alias("is_symbol")), "id")
+    return context.blocks(retrieval.pack(ranked, budget=4000, most=3), chunks).select("query_id", "n_chunks", "sha256")
+
+
+_add("context_blocks", _chunk_cards)
+
 # -- streaming ---------------------------------------------------------------------
 
 
