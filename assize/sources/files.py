@@ -11,8 +11,8 @@ from ..functions.text import glob_regex
 from ..operators.scanning import language
 
 MAX_FILE = 1 << 20
-#: Folders that are never read (fixed values).
-IGNORED = ("**/.git/**", "**/node_modules/**", "**/target/**", "**/__pycache__/**", "**/.venv/**", "**/dist/**", "**/build/**")
+#: Folders that are never read, beside those whose names begin with a dot or underscore (fixed values).
+IGNORED = ("**/node_modules/**", "**/target/**", "**/__pycache__/**", "**/.venv/**", "**/dist/**", "**/build/**")
 
 
 def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), largest: int = MAX_FILE) -> DataFrame:

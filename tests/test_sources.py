@@ -79,15 +79,15 @@ def test_config(tmp_path):
 
 def test_file_tree(spark, tmp_path):
     (tmp_path / "src").mkdir()
-    (tmp_path / ".git").mkdir()
+    (tmp_path / "node_modules").mkdir()
     (tmp_path / "src/a.py").write_text("x = 1\n")
     (tmp_path / "src/b.rs").write_bytes(b"\xff\xfe")
     (tmp_path / "src/big.py").write_text("x" * 200)
-    (tmp_path / ".git/c.py").write_text("x")
+    (tmp_path / "node_modules/c.py").write_text("x")
     (tmp_path / "Dockerfile").write_text("FROM x\n")
     (tmp_path / "d.xyz").write_text("x")
     got = {r["path"]: (r["status"], r["lang"]) for r in files.scan(spark, str(tmp_path), largest=100).collect()}
-    assert got == {"src/a.py": ("ok", "python"), "src/b.rs": ("not text", "rust"), "src/big.py": ("too large", "python"), ".git/c.py": ("ignored", "python"), "Dockerfile": ("ok", "dockerfile"), "d.xyz": ("unknown language", None)}
+    assert got == {"src/a.py": ("ok", "python"), "src/b.rs": ("not text", "rust"), "src/big.py": ("too large", "python"), "node_modules/c.py": ("ignored", "python"), "Dockerfile": ("ok", "dockerfile"), "d.xyz": ("unknown language", None)}
 
 
 def outputs(spark, text):
