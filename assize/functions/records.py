@@ -36,7 +36,7 @@ def usable_finding_id(c: Column) -> Column:
 def _tag(c: Column, key: str) -> Column:
     """The discriminator of an enum stored as a bare word, quoted word or JSON object."""
     s = F.trim(c)
-    inner = F.coalesce(F.get_json_object(s, f"$.{key}"), F.element_at(F.json_object_keys(s), 1))
+    inner = F.coalesce(F.get_json_object(s, f"$.{key}"), F.get(F.json_object_keys(s), 0))
     return F.when(s.startswith("{"), inner).otherwise(F.split(s, ":").getItem(0))
 
 

@@ -110,8 +110,8 @@ def diff_ranges(lines: DataFrame) -> DataFrame:
     name = F.when(F.col("line").startswith("+++ "), F.regexp_replace(F.regexp_extract("line", r"^\+\+\+ (?:b/)?([^\t]*)", 1), r"\s+$", ""))
     hunk = r"^@@ .*?\+(\d+)(?:,(\d+))?"
     rows = lines.withColumn("file", F.last(name, ignorenulls=True).over(order)).filter(F.col("line").rlike(hunk) & F.col("file").isNotNull() & (F.col("file") != "/dev/null"))
-    first = F.regexp_extract("line", hunk, 1).cast("int")
-    count = F.coalesce(F.nullif(F.regexp_extract("line", hunk, 2), F.lit("")).cast("int"), F.lit(1))
+    first = F.regexp_extract("line", hunk, 1).try_cast("int")
+    count = F.coalesce(F.nullif(F.regexp_extract("line", hunk, 2), F.lit("")).try_cast("int"), F.lit(1))
     return rows.select("diff_id", "file", first.alias("first"), count.alias("n")).filter("n > 0").select("diff_id", "file", "first", (F.col("first") + F.col("n") - 1).alias("last"))
 
 

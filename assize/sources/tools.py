@@ -17,8 +17,8 @@ COLUMNS = ("run_id", "file_path", "rule", "title", "severity", "category", "line
 
 
 def _table(rows: DataFrame, path: Column, rule: Column, title: Column, severity: Column, category: Column, first: Column, last: Column) -> DataFrame:
-    start = F.coalesce(first.cast("int"), F.lit(1))
-    values = (F.col("run_id"), path, rule, title, severity, category, start, F.greatest(start, F.coalesce(last.cast("int"), start)))
+    start = F.coalesce(first.try_cast("int"), F.lit(1))
+    values = (F.col("run_id"), path, rule, title, severity, category, start, F.greatest(start, F.coalesce(last.try_cast("int"), start)))
     return rows.select(*[v.alias(n) for v, n in zip(values, COLUMNS)])
 
 

@@ -12,13 +12,13 @@ def values(spark, rows, expression, schema="x string"):
 
 
 def test_verdict_encodings(spark):
-    rows = ["tp", ' "fp" ', '{"verdict": "partial"}', '{"wontfix": {}}', '{"ContextMisleading": {"blamed": []}}', "true_positive", "WONT_FIX", "", None, "maybe", "{broken"]
-    assert values(spark, rows, R.verdict(F.col("x"))) == ["tp", "fp", "partial", "wontfix", "context_misleading", "tp", "wontfix", None, None, None, None]
+    rows = ["tp", ' "fp" ', '{"verdict": "partial"}', '{"wontfix": {}}', '{"ContextMisleading": {"blamed": []}}', "true_positive", "WONT_FIX", "", None, "maybe", "{broken", "{}", "{", "[]", ":"]
+    assert values(spark, rows, R.verdict(F.col("x"))) == ["tp", "fp", "partial", "wontfix", "context_misleading", "tp", "wontfix", *[None] * 8]
 
 
 def test_annotators(spark):
-    rows = ["human", '{"external": {"agent": " Kestrel "}}', "external:Marlin", '{"External": {"agent_name": "b"}}', '{"kind": "auto_calibrate", "model": "M-1"}', '{"AutoCalibrate": "m-2"}', "post-fix", "unknown", None, '{"external": "x y"}']
-    assert values(spark, rows, R.annotator(F.col("x"))) == ["human", "external:kestrel", "external:marlin", "external:b", "auto:m-1", "auto:m-2", "post_fix", None, None, "external:xy"]
+    rows = ["human", '{"external": {"agent": " Kestrel "}}', "external:Marlin", '{"External": {"agent_name": "b"}}', '{"kind": "auto_calibrate", "model": "M-1"}', '{"AutoCalibrate": "m-2"}', "post-fix", "unknown", None, '{"external": "x y"}', "{}", "", "external:", "{"]
+    assert values(spark, rows, R.annotator(F.col("x"))) == ["human", "external:kestrel", "external:marlin", "external:b", "auto:m-1", "auto:m-2", "post_fix", None, None, "external:xy", None, None, None, None]
 
 
 def test_finding_ids(spark):
