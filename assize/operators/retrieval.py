@@ -1,21 +1,29 @@
 """Similarity search over chunks, feedback and vectors, batched over many queries.
 
-A small set of queries is met with all rows: the queries go to every task
-(their number is checked), each task keeps its best k per query, and only
-those are merged. Lexical search goes through postings joined by term.
+A stated set of queries is met with all rows in blocks: a block of queries goes
+to every task, scores whole batches of rows at once, and keeps the best k of
+each batch per query; only those are merged. No pair is ever shuffled, and
+every row is scored. The number of queries of one call is checked.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import DAY_US, cosine, l2, micros
+from ..functions.numbers import DAY_US, micros
 from ..functions.text import token_estimate
-from ..storage import materialize
 
-#: Most queries of one batch that are broadcast; more are split into batches by the caller.
+#: Most queries of one call; the caller splits more into several calls.
 MOST_QUERIES = 20_000
+#: Queries of one block, scored together in one pass over the rows.
+BLOCK = 512
 K1, B = 1.2, 0.75
 #: Words of an index: letters, digits and _ : $ (fixed value).
 TERM = r"[\p{L}\p{N}_:$]+"
@@ -38,76 +46,161 @@ def top_k(scored: DataFrame, k: int, by: str = "score", tie: str = "id", falling
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, *columns: str) -> Iterator[list[tuple]]:
+    block: list[tuple] = []
+    for n, row in enumerate(queries.select("query_id", *columns).toLocalIterator()):
+        if n >= MOST_QUERIES:
+            raise ValueError(f"more than {MOST_QUERIES} queries in one call")
+        block.append(tuple(row))
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+#: Makes, in the worker, a function from the columns of a batch to scores (rows x queries) and the places of rows that count.
+Scorer = Callable[[list[tuple]], Callable[[dict[str, list]], np.ndarray]]
+
+
+def _search(queries: DataFrame, asked: tuple[str, ...], rows: DataFrame, scorer: Scorer, k: int, least: float | None = 0.0) -> DataFrame:
+    """``query_id, id, rank, score`` of the best ``k`` rows per query with a score over ``least``.
+
+    Scores are rounded to six places before they are ranked; ties go to the smaller id.
+    """
+    q_type, id_type = queries.schema["query_id"].dataType, rows.schema["id"].dataType
+    schema = f"query_id {q_type.simpleString()}, id {id_type.simpleString()}, score double"
+
+    def one(block: list[tuple]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score = scorer(block)
+            for batch in batches:
+                columns = {n: batch[n].to_pylist() for n in batch.schema.names}
+                ids = np.array(columns["id"])
+                out_q, out_i, out_s = [], [], []
+                if len(ids):
+                    scores = np.round(score(columns), 6)
+                    for n, q in enumerate(block):
+                        s = scores[:, n]
+                        cut = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                        near = np.flatnonzero((s >= cut) & (s > least if least is not None else True))
+                        for at in near[np.lexsort((ids[near], -s[near]))][:k]:
+                            out_q.append(q[0])
+                            out_i.append(columns["id"][at])
+                            out_s.append(float(s[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, q_kind), pa.array(out_i, batch.schema.field("id").type), pa.array(out_s, pa.float64())], ["query_id", "id", "score"])
+
+        q_kind = pa.string() if q_type.simpleString() == "string" else pa.int64() if q_type.simpleString() == "bigint" else pa.int32()
+        return rows.mapInArrow(run, schema)
+
+    parts = [one(block) for block in _blocks(queries, *asked)]
+    found = reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], schema)
+    return top_k(found, k)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """``query_id, id, rank, score`` of the nearest vectors; ``queries`` and ``vectors`` have an id and ``vec``.
+    """``query_id, id, rank, score`` of the nearest vectors; ``queries`` (query_id, vec) and ``vectors`` (id, vec).
 
-    cosine: higher is better. l2: the score is 1 - distance / 2 with the distance cut to [0, 2].
+    cosine: higher is better, 0 for a zero vector or unequal lengths. l2: the
+    score is 1 - distance / 2 with the distance cut to [0, 2]. Null vectors match nothing.
     """
-    pairs = vectors.select("id", "vec").crossJoin(_bounded(queries.select("query_id", F.col("vec").alias("q"))))  # a stated query set
-    value = cosine(F.col("q"), F.col("vec")) if metric == "cosine" else 1 - F.least(F.lit(2.0), l2(F.col("q"), F.col("vec"))) / 2
-    return top_k(pairs.select("query_id", "id", F.round(value, 6).alias("score")), k)
+
+    def scorer(block: list[tuple]):
+        dim = max((len(q[1]) for q in block if q[1]), default=0)
+        asked = np.array([q[1] if q[1] is not None and len(q[1]) == dim else [0.0] * dim for q in block], np.float64).reshape(len(block), dim)
+        norms = np.sqrt((asked * asked).sum(1))
+
+        def score(columns: dict[str, list]) -> np.ndarray:
+            fits = np.array([v is not None and len(v) == dim for v in columns["vec"]])
+            held = np.array([v if f else [0.0] * dim for v, f in zip(columns["vec"], fits)], np.float64).reshape(len(fits), dim)
+            dots = held @ asked.T
+            own = np.sqrt((held * held).sum(1))
+            if metric == "cosine":
+                scale = own[:, None] * norms[None, :]
+                return np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+            squared = np.maximum(0.0, own[:, None] ** 2 + norms[None, :] ** 2 - 2 * dots)
+            return np.where(fits[:, None], 1 - np.minimum(2.0, np.sqrt(squared)) / 2, -1.0)
+
+        return score
+
+    return _search(queries, ("vec",), vectors.select("id", "vec"), scorer, k, None)
+
+
+def _incidence(block: list[tuple], weigh=lambda term: 1.0) -> tuple[dict[str, int], np.ndarray]:
+    """Places of the block's terms and the matrix terms x queries of their weights."""
+    place: dict[str, int] = {}
+    for q in block:
+        for w in q[1] or ():
+            place.setdefault(w, len(place))
+    table = np.zeros((len(place), len(block)))
+    for n, q in enumerate(block):
+        for w in set(q[1] or ()):
+            table[place[w], n] = weigh(w)
+    return place, table
 
 
 def jaccard_search(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     """``query_id, id, rank, score`` by 0.6 title similarity + 0.4 equal category.
 
-    ``queries``: query_id, words, cat; ``entries``: id, words, cat (words are
-    distinct). Entries that share a word meet by that word; those that share
-    only the category have 0.4 and are ranked by id behind, at most k per category.
+    ``queries``: query_id, words, cat; ``entries``: id, words, cat. Words are
+    distinct. Null words count as none, a null category equals nothing.
     """
-    asked = materialize(queries.select("query_id", "words", "cat"), "queries")
-    held = materialize(entries.select("id", "words", "cat"), "entries")
-    by_word = (
-        asked.select("query_id", F.size("words").alias("nq"), F.col("cat").alias("qcat"), F.explode("words").alias("w"))
-        .join(held.select("id", F.size("words").alias("ne"), F.col("cat").alias("ecat"), F.explode("words").alias("w")), "w")
-        .groupBy("query_id", "id")
-        .agg(F.count("*").alias("shared"), F.first("nq").alias("nq"), F.first("ne").alias("ne"), F.first("qcat").alias("qcat"), F.first("ecat").alias("ecat"))
-    )
-    lexical = by_word.select("query_id", "id", (0.6 * F.col("shared") / (F.col("nq") + F.col("ne") - F.col("shared")) + F.when(F.col("qcat") == F.col("ecat"), 0.4).otherwise(0.0)).alias("score"))
-    # At most k of a category can be needed beyond those that share a word with the query.
-    most = lexical.groupBy("query_id").agg(F.count("*").alias("n_lexical"))
-    place = Window.partitionBy("cat").orderBy("id")
-    first_of_cat = held.filter("cat IS NOT NULL").select("cat", "id", F.row_number().over(place).alias("rn"))
-    only_cat = (
-        asked.filter("cat IS NOT NULL")
-        .join(most, "query_id", "left")
-        .join(first_of_cat, "cat")
-        .filter(F.col("rn") <= k + F.coalesce("n_lexical", F.lit(0)))
-        .select("query_id", "id")
-        .join(lexical, ["query_id", "id"], "left_anti")
-        .select("query_id", "id", F.lit(0.4).alias("score"))
-    )
-    return top_k(lexical.unionByName(only_cat).withColumn("score", F.round("score", 6)), k)
 
+    def scorer(block: list[tuple]):
+        place, table = _incidence(block)
+        sizes = np.array([len(q[1] or ()) for q in block], np.float64)
+        cats = np.array([q[2] if q[2] is not None else "\0none" for q in block])
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None, normalize: bool = False) -> DataFrame:
+        def score(columns: dict[str, list]) -> np.ndarray:
+            out = np.zeros((len(columns["id"]), len(block)))
+            for n, (ws, cat) in enumerate(zip(columns["words"], columns["cat"])):
+                at = [place[w] for w in ws or () if w in place]
+                if at:
+                    shared = table[at].sum(0)
+                    out[n] = 0.6 * shared / (sizes + len(ws) - shared)
+                if cat is not None:
+                    out[n] += 0.4 * (cats == cat)
+            return out
+
+        return score
+
+    return _search(queries, ("words", "cat"), entries.select("id", "words", "cat"), scorer, k)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int, normalize: bool = False) -> DataFrame:
     """``query_id, id, rank, score`` by BM25 (k1 1.2, b 0.75) over ``docs`` (id, terms) for ``queries`` (query_id, terms).
 
-    Postings are filtered to the queried terms before they are counted, so
-    only matching rows are shuffled. With ``normalize`` scores are divided by the best of the query.
+    Document frequencies of the queried terms and the mean length are counted
+    over all documents first. With ``normalize`` scores are divided by the best of the query.
     """
-    asked = materialize(queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")), "terms")
-    lengths = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    wanted = asked.select("term").distinct()
-    postings = (
-        docs.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-        .join(_bounded(wanted), "term", "left_semi")
-        .groupBy("term", "id")
-        .agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    )
-    postings = materialize(postings, "postings")
-    dfs = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = (
-        postings.join(dfs, "term").crossJoin(F.broadcast(lengths)).select("term", "id", part.alias("part"))  # one row
-        .join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    )
+    wanted = queries.select(F.explode("terms").alias("term")).distinct()
+    counted = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = {r["term"]: r["df"] for r in counted.toLocalIterator()}  # the terms of a bounded set of queries
+    n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    idf = {w: float(np.log(1 + (n_docs - d + 0.5) / (d + 0.5))) for w, d in df.items()}
+
+    def scorer(block: list[tuple]):
+        place, table = _incidence(block, lambda w: idf.get(w, 0.0))
+
+        def score(columns: dict[str, list]) -> np.ndarray:
+            out = np.zeros((len(columns["id"]), len(block)))
+            for n, ws in enumerate(columns["terms"]):
+                counts: dict[int, int] = {}
+                for w in ws or ():
+                    at = place.get(w)
+                    if at is not None:
+                        counts[at] = counts.get(at, 0) + 1
+                if counts:
+                    tf = np.fromiter(counts.values(), np.float64, len(counts))
+                    out[n] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean))) @ table[list(counts)]
+            return out
+
+        return score
+
+    found = _search(queries, ("terms",), docs.select("id", "terms"), scorer, k)
     if normalize:
-        best = Window.partitionBy("query_id")
-        scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide("score", F.max("score").over(best)))))
-    scored = scored.withColumn("score", F.round("score", 6))
-    return top_k(scored, k) if k else scored
+        found = found.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide("score", F.max("score").over(Window.partitionBy("query_id"))))), 6))
+    return found
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int) -> DataFrame:
