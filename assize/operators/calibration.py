@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import age_days
-from ..functions.text import any_of, category, edge_tokens, jaccard, lower_tokens, metric_compatible, severity_name, severity_rank, word_boundary_regex
+from ..functions.text import any_of, category, complexity_metric, edge_tokens, jaccard, lower_tokens, metric_compatible, severity_name, severity_rank, word_boundary_regex
 from ..storage import materialize
 from .kpi import typed
 
@@ -84,16 +86,20 @@ def _similar_titles(mine: DataFrame, theirs: DataFrame, least: float) -> DataFra
     Such texts share a word among the rarest of either side; pairs meet by these words only.
     """
     mine, theirs = materialize(mine, "mine"), materialize(theirs, "theirs")
+    # Sizes of similar sets differ at most by the factor 1 / least.
+    longest = theirs.agg(F.max(F.size("ws")).alias("longest"))
+    mine = mine.crossJoin(F.broadcast(longest)).filter(F.size("ws") * least <= F.col("longest")).drop("longest")  # one row
     df = mine.select(F.explode("ws").alias("w")).unionByName(theirs.select(F.explode("ws").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
         place = Window.partitionBy("text").orderBy("df", "w")
         rows = side.select("text", F.size("ws").alias("size"), F.explode("ws").alias("w")).join(df, "w").withColumn("rn", F.row_number().over(place))
-        return rows.filter(F.col("rn") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).select("w", F.col("text").alias(name))
+        return rows.filter(F.col("rn") <= F.col("size") - F.ceil(F.lit(least) * F.col("size")) + 1).select("w", F.col("text").alias(name), F.col("size").alias(f"n_{name}"))
 
     return (
         prefix(mine, "a")
         .join(prefix(theirs, "b"), "w")
+        .filter((F.col("n_a") * least <= F.col("n_b")) & (F.col("n_b") * least <= F.col("n_a")))
         .select("a", "b")
         .distinct()
         .join(mine.select(F.col("text").alias("a"), F.col("ws").alias("wa")), "a")
@@ -145,16 +151,85 @@ def ranked_precedents(findings: DataFrame, precedent: DataFrame, threshold: floa
     return top.select("id", "seq", "v", "tier", (F.col("w") * F.col("similarity")).alias("w"), F.round("similarity", 6).alias("similarity"))
 
 
-def decide(findings: DataFrame, matched: DataFrame, suppress_below: float | None = None, boost_from: float | None = None) -> DataFrame:
-    """One row per finding: weights, action, severities, reason, and whether it is suppressed.
-
-    ``matched`` has ``id, v, tier, w`` of its precedents. Given thresholds
-    replace the fixed ratios. A demotion comes before a boost.
+PARTS = [(who, what) for who in ("auto", "external", "other") for what in ("tp", "fp", "wontfix")]
+#: Distinct titles of either side that one task of the block join holds.
+ASKED_BLOCK, HELD_BLOCK = 4_000, 100_000
+
+
+def _score_block(threshold: float):
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        names = [f"{who}_{what}" for who, what in PARTS]
+        postings: dict[str, list[int]] = {}
+        for n, ws in enumerate(held["ws"]):
+            for w in ws:
+                postings.setdefault(w, []).append(n)
+        lists = {w: np.array(v, np.int64) for w, v in postings.items()}
+        sizes, cats, metrics = held["ws"].map(len).to_numpy(np.float64), held["cat"].fillna("").to_numpy(str), held["metric"].to_numpy()
+        weights, counts = held[names].to_numpy(np.float64), held["n"].to_numpy()
+        out = []
+        for key, ws, cat, metric in zip(asked["key"], asked["ws"], asked["cat"], asked["metric"]):
+            near = [lists[w] for w in ws if w in lists]
+            if not near:
+                continue
+            shared = np.bincount(np.concatenate(near), minlength=len(held))
+            at = np.flatnonzero(shared)
+            score = (3 * shared[at] / (sizes[at] + len(ws) - shared[at]) + 2 * (cats[at] == cat)) / 5
+            fits = (metrics[at] == -1) if metric == -1 else (metrics[at] != -1) & (np.abs(metrics[at] - metric) <= 2)
+            at = at[(score >= threshold - 1e-9) & fits]
+            if len(at):
+                out.append((key, int(counts[at].sum()), *weights[at].sum(0)))
+        return pd.DataFrame(out, columns=["key", "n", *names])
+
+    return run
+
+
+def vote_sums(findings: DataFrame, precedent: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``id, n_precedents, tp, fp, wontfix``: capped votes of all precedents similar to each finding.
+
+    Titles are made of few templates, so a finding is similar to a large part
+    of the precedents of its category, and pairs must not be written out.
+    Precedents are first summed by title, category, tier and verdict. Then
+    blocks of distinct titles of both sides meet, each pair of blocks in one
+    task, which keeps only sums; those of a finding are added over blocks and
+    capped at last.
     """
-    vote = matched.groupBy("id").agg(
+    if (5 * threshold - 2) / 3 <= 0:
+        raise ValueError("a threshold of 0.4 or less would make every pair of a category similar")
+    metric = F.coalesce(complexity_metric(F.col("title")), F.lit(-1)).alias("metric")
+    rows = findings.filter("title IS NOT NULL").select("id", "title", category(F.col("category")).alias("cat"))
+    rows = materialize(rows.withColumn("key", F.xxhash64("title", "cat")), "asked")
+    asked = rows.groupBy("key").agg(F.first("title").alias("title"), F.first("cat").alias("cat")).select("key", "cat", edge_tokens(F.col("title")).alias("ws"), metric)
+    of = {"tp": F.col("v").isin("tp", "partial"), "fp": F.col("v") == "fp", "wontfix": F.col("v") == "wontfix"}
+    who = {"auto": F.col("tier") == "auto_calibrate", "external": F.col("tier") == "external", "other": ~F.col("tier").isin("auto_calibrate", "external")}
+    sums = [F.coalesce(F.sum(F.when(who[a] & of[b], F.col("w"))), F.lit(0.0)).alias(f"{a}_{b}") for a, b in PARTS]
+    known = precedent.withColumn("pc", F.when(F.coalesce("raw_category", F.lit("")) != "", F.col("cat")))
+    held = known.groupBy("title", "pc").agg(F.count("*").alias("n"), *sums)
+    held = held.select(edge_tokens(F.col("title")).alias("ws"), F.col("pc").alias("cat"), metric, "n", *[f"{a}_{b}" for a, b in PARTS], F.xxhash64("title", "pc").alias("h"))
+    asked, held = materialize(asked, "asked"), materialize(held, "held")
+    n_asked, n_held = max(1, -(-asked.count() // ASKED_BLOCK)), max(1, -(-held.count() // HELD_BLOCK))
+    left = asked.withColumn("i", F.pmod("key", F.lit(n_asked))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_held - 1))))
+    right = held.withColumn("j", F.pmod("h", F.lit(n_held)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long")))).drop("h")
+    schema = "key bigint, n bigint, " + ", ".join(f"{a}_{b} double" for a, b in PARTS)
+    blocks = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_score_block(threshold), schema)
+    total = blocks.groupBy("key").agg(F.sum("n").alias("n_precedents"), *[F.sum(f"{a}_{b}").alias(f"{a}_{b}") for a, b in PARTS])
+    votes = [(F.least(F.col(f"auto_{b}"), F.lit(CAPS["auto_calibrate"])) + F.least(F.col(f"external_{b}"), F.lit(CAPS["external"])) + F.col(f"other_{b}")).alias(b) for b in ("tp", "fp", "wontfix")]
+    return rows.select("id", "key").join(total.select("key", "n_precedents", *votes), "key").drop("key")
+
+
+def votes_of(matched: DataFrame) -> DataFrame:
+    """Capped votes per finding of listed precedents (id, v, tier, w)."""
+    return matched.groupBy("id").agg(
         F.count("*").alias("n_precedents"),
         *[capped(F.col("w"), F.col("tier"), F.col("v"), of).alias(name) for name, of in (("tp", ("tp", "partial")), ("fp", ("fp",)), ("wontfix", ("wontfix",)))],
     )
+
+
+def decide(findings: DataFrame, vote: DataFrame, suppress_below: float | None = None, boost_from: float | None = None) -> DataFrame:
+    """One row per finding: weights, action, severities, reason, and whether it is suppressed.
+
+    ``vote`` has ``id, n_precedents, tp, fp, wontfix``. Given thresholds
+    replace the fixed ratios. A demotion comes before a boost.
+    """
     rows = findings.select("id", "title", "description", "severity", category(F.col("category")).alias("cat")).join(vote, "id", "left").na.fill(0.0, ["tp", "fp", "wontfix"]).na.fill(0, ["n_precedents"])
     tp, fp, rank = F.col("tp"), F.col("fp"), severity_rank(F.col("severity"))
     score = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.5))
@@ -182,8 +257,8 @@ def decide(findings: DataFrame, matched: DataFrame, suppress_below: float | None
 def calibrate(findings: DataFrame, feedback: DataFrame, now_us: int, threshold: float | None = None, suppress_below: float | None = None, boost_from: float | None = None, index: bool = False) -> DataFrame:
     """Decisions for all findings; ``index`` takes the ranked variant of precedents."""
     known = materialize(precedents(feedback, now_us), "precedents")
-    matched = ranked_precedents(findings, known, threshold or 0.72) if index else similar_precedents(findings, known, threshold or 0.5)
-    return decide(findings, matched, suppress_below, boost_from)
+    vote = votes_of(ranked_precedents(findings, known, threshold or 0.72)) if index else vote_sums(findings, known, threshold or 0.5)
+    return decide(findings, vote, suppress_below, boost_from)
 
 
 def few_shot(matched: DataFrame) -> DataFrame:

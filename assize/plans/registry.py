@@ -316,7 +316,7 @@ _add("calibrate_decisions", lambda s, d: calibration.calibrate(table(s, d, "find
   CASE WHEN n_precedents = 0 THEN 'no_match' WHEN gone THEN 'disputed' WHEN wants AND allowed THEN 'boosted' WHEN wants THEN 'boost_blocked_by_gate' WHEN demoted THEN 'disputed' ELSE 'boost_weight_too_low' END AS reason,
   gone AS suppressed, round(tp, 4)::DOUBLE AS tp, round(fp, 4)::DOUBLE AS fp, round(wontfix, 4)::DOUBLE AS wontfix, n_precedents FROM q""")
 
-_add("calibrate_ranked", lambda s, d: calibration.calibrate(table(s, d, "findings"), table(s, d, "feedback"), NOW_US, threshold=0.5, index=True))
+_add("calibrate_ranked", lambda s, d: calibration.calibrate(table(s, d, "findings"), table(s, d, "feedback"), NOW_US, index=True))
 _add("few_shot_examples", lambda s, d: calibration.few_shot(calibration.similar_precedents(table(s, d, "findings"), materialize(calibration.precedents(table(s, d, "feedback"), NOW_US), "precedents"), 0.6)))
 
 # -- scalars -----------------------------------------------------------------------
