@@ -77,7 +77,15 @@ def merge_findings(findings: DataFrame, threshold: float = 0.8) -> DataFrame:
         "run_id", "file_path", "id", "title", F.lower("category").alias("category"), "severity", F.least("line_start", "line_end").alias("line_start"), F.greatest("line_start", "line_end").alias("line_end"), "evidence",
         F.unix_micros("created_at").alias("created_us"),
     )
-    return rows.groupBy("run_id", "file_path").applyInPandas(_merger(threshold), SCHEMA).drop("rep_id")
+    sizes = rows.groupBy("run_id", "file_path").agg(F.count("*").alias("size"))
+    same = (F.col("r.run_id").eqNullSafe(F.col("s.run_id"))) & (F.col("r.file_path").eqNullSafe(F.col("s.file_path")))
+    sized = rows.alias("r").join(sizes.alias("s"), same).select("r.*", "s.size")
+    # A finding that stands alone has nothing to merge with and never reaches Python.
+    alone = sized.filter("size = 1").select(
+        "file_path", "id", "title", "category", "severity", "line_start", "line_end", F.lit(1).alias("n_merged"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence")
+    )
+    several = sized.filter("size > 1").drop("size")
+    return alone.unionByName(several.groupBy("run_id", "file_path").applyInPandas(_merger(threshold), SCHEMA).drop("rep_id"))
 
 
 def grounded(findings: DataFrame, lines: DataFrame, around: int = 2) -> DataFrame:
