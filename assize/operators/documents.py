@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -101,6 +102,175 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "lang", "text").mapInArrow(run, "path string, kind string, name string, signature string, line_start int, line_end int, doc string")
 
 
+#: Strings and comments of a language, in which brackets and definitions don't count.
+_OPAQUE = {
+    "rust": re.compile(r"""//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*.*?\*/)*\*/|\bb?r(?P<q>#*)".*?"(?P=q)|"(?:\\.|[^"\\])*"|'(?:\\u\{[^}\n]*\}|\\x\w\w|\\.|[^'\\\n])'""", re.S),
+    "typescript": re.compile(
+        r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\}|[^`\\])*`"""
+        r"""|(?:(?<=[=(,:!&|?;{}])|(?<=[=(,:!&|?;{}] )|(?<=return ))/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/""",
+        re.S,
+    ),
+    "go": re.compile(r"""//[^\n]*|/\*.*?\*/|`[^`]*`|"(?:\\.|[^"\\\n])*"|'(?:\\.[^'\n]*|[^'\\\n])'""", re.S),
+    "python": re.compile(r"""#[^\n]*|\"{3}(?:\\.|[^\\])*?\"{3}|'{3}(?:\\.|[^\\])*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S),
+}
+_DEFINITIONS = {
+    "rust": re.compile(r"\bfn\s+(?P<name>(?:r#)?\w+)"),
+    "typescript": re.compile(
+        r"\bfunction\b\s*\*?\s*(?P<name>[\w$]+)"
+        r"|(?:^|(?<=[{};,]))[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set)[ \t]+)*(?:\*[ \t]*)?(?P<method>#?[A-Za-z_$][\w$]*)\s*(?=[<(])",
+        re.M,
+    ),
+    "go": re.compile(r"^func\s*(?:\([^)]*\)\s*)?(?P<name>\w+)", re.M),
+    "python": re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>\w+)", re.M),
+}
+#: Words before a bracket that make a statement, not a method.
+_STATEMENTS = {"if", "for", "while", "switch", "catch", "with", "return", "function", "super", "await", "typeof", "new", "throw", "yield", "delete", "void", "in", "of", "else", "do", "case"}
+_PARTNER = {")": "(", "]": "[", "}": "{"}
+_CALL = re.compile(r"\b([A-Za-z_]\w*)\(", re.ASCII)
+
+
+def _masked(lang: str, text: str) -> str:
+    """The text with strings and comments blanked, as long and with the same line ends."""
+    return _OPAQUE[lang].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+
+
+def _partners(text: str) -> dict[int, int]:
+    """Place of the closing bracket of each opening one; one that is never closed has none."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    for m in re.finditer(r"[(){}\[\]]", text):
+        c = m.group()
+        if c not in _PARTNER:
+            stack.append(m.start())
+        elif stack and text[stack[-1]] == _PARTNER[c]:
+            out[stack.pop()] = m.start()
+        elif c == "}":  # brackets left open inside end with their block
+            k = len(stack) - 1
+            while k >= 0 and text[stack[k]] != "{":
+                k -= 1
+            if k >= 0:
+                out[stack[k]] = m.start()
+                del stack[k:]
+    return out
+
+
+def _body(lang: str, text: str, at: int, closing: dict[int, int]) -> int | None:
+    """Place of the brace that opens the body of the function whose name ends at ``at``; None for a declaration without body."""
+    after, seen, typed = "", False, False  # the last token; whether parameters, and in TypeScript the type after them, have begun
+    while at < len(text):
+        c = text[at]
+        if c in "([" or (c == "{" and (not seen or (lang == "typescript" and after in (":", "|", "&", "<", ",", "=>")) or (lang == "go" and re.search(r"\b(?:interface|struct)\s*$", text[max(0, at - 20) : at])))):
+            if at not in closing:
+                return None
+            seen = seen or c == "("
+            at = closing[at]
+        elif c == "{":
+            return at
+        elif c in ")]};" or (lang == "go" and c == "\n" and seen):
+            return None
+        elif lang == "typescript" and seen:
+            typed = typed or c == ":"
+            if (not typed and not c.isspace()) or (c == "=" and not text.startswith("=>", at)) or (c == "\n" and not typed and not re.match(r"\s*[{:]", text[at:])):
+                return None
+            if c == "=":
+                at += 1
+        if not text[at].isspace():
+            after = "=>" if c == "=" else text[at]
+        at += 1
+    return None
+
+
+def _indented_end(lines: list[str], first: int, goes_on: list[bool] | None = None) -> int:
+    """Last line of the block that line ``first`` begins, by indentation."""
+    width = lambda x: len(x.expandtabs()) - len(x.expandtabs().lstrip())
+    own, end = width(lines[first]), first
+    for n in range(first + 1, len(lines)):
+        if goes_on and goes_on[n]:
+            end = n
+        elif not lines[n].strip():
+            continue
+        elif width(lines[n]) > own or (goes_on is None and lines[n].lstrip()[:1] in ("}", ")")):
+            end = n
+            if goes_on is None and width(lines[n]) <= own and lines[n].lstrip()[:1] == "}":
+                break
+        else:
+            break
+    return end
+
+
+def functions(lang: str, text: str) -> tuple[list[tuple[str, int, int]], set[int]]:
+    """``(name, first line, last line)`` of all functions and methods of a file, nested and private ones too, and the places of defined names.
+
+    Declarations without a body have no span, but their names are among the places.
+    """
+    if lang not in _DEFINITIONS:
+        return [], set()
+    masked = _masked(lang, text)
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    line_of = lambda at: bisect.bisect_right(starts, at) - 1
+    lines, code = text.split("\n"), masked.split("\n")
+    closing = {} if lang == "python" else _partners(masked)
+    goes_on = [False] * len(lines)
+    if lang == "python":
+        for m in _OPAQUE[lang].finditer(text):
+            for n in range(line_of(m.start()) + 1, line_of(m.end() - 1) + 1):
+                goes_on[n] = True
+        depth = 0
+        for n, x in enumerate(code):
+            if re.match(r"\s*(?:(?:async\s+)?def|class)\s+\w", x):
+                depth = 0
+            goes_on[n] = goes_on[n] or depth > 0
+            depth = max(0, depth + sum(map(x.count, "([{")) - sum(map(x.count, ")]}")))
+    out, places = [], set()
+    for m in _DEFINITIONS[lang].finditer(masked):
+        group = "name" if m["name"] else "method"
+        if group == "method" and m["method"] in _STATEMENTS:
+            continue
+        name, first = m[group], line_of(m.start(group))
+        if lang == "python":
+            out.append((name, first + 1, _indented_end(code, first, goes_on) + 1))
+        else:
+            brace = _body(lang, masked, m.end(group), closing)
+            if brace is not None:
+                end = line_of(closing[brace]) if brace in closing else _indented_end(code, first)
+                out.append((name, first + 1, max(end, line_of(brace)) + 1))
+            elif group == "method":
+                continue
+        places.add(m.start(group) + (2 if name.startswith("r#") else name.startswith("#")))
+    return [(n.removeprefix("r#"), a, b) for n, a, b in out], places
+
+
+def _by_file(files: DataFrame, rows_of, schema: dict[str, pa.DataType]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, *x) for path, lang, text in zip(*(batch[c].to_pylist() for c in ("path", "lang", "text"))) if text is not None for x in rows_of(lang or "", text)]
+            cols = list(zip(*rows)) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, schema.values())], list(schema))
+
+    return files.select("path", "lang", "text").mapInArrow(run, ", ".join(f"{n} {'int' if k == pa.int32() else k}" for n, k in schema.items()))
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """All functions and methods of files (``path, lang, text``), at any depth and visibility: ``path, name, first, last``."""
+    return _by_file(files, lambda lang, text: functions(lang, text)[0], {"path": pa.string(), "name": pa.string(), "first": pa.int32(), "last": pa.int32()})
+
+
+def calls(files: DataFrame) -> DataFrame:
+    """Names before an opening bracket, once a line: ``path, line, callee``. The name that a definition gives isn't one."""
+
+    def rows_of(lang: str, text: str) -> list[tuple[int, str]]:
+        places, out, line, at = functions(lang, text)[1], {}, 1, 0
+        for m in _CALL.finditer(text):
+            line += text.count("\n", at, m.start())
+            at = m.start()
+            if at not in places:
+                out[line, m[1]] = None
+        return list(out)
+
+    return _by_file(files, rows_of, {"path": pa.string(), "line": pa.int32(), "callee": pa.string()})
+
+
+
 def diff_ranges(lines: DataFrame) -> DataFrame:
     """Changed ranges of unified diffs given as ``diff_id, line_no, line``: ``diff_id, file, first, last``.
 

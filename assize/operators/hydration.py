@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 BUCKET = 256
 
 
-def callers(calls: DataFrame, functions: DataFrame) -> DataFrame:
+def callers(calls: DataFrame, functions: DataFrame, outside: bool = False) -> DataFrame:
     """Calls (path, line, callee) with the innermost function (path, name, first, last) around them.
 
+    With ``outside``, calls outside any function are kept with a null caller.
     An interval join by buckets of lines: a call has one bucket, a function as
     many as it covers, so both sides are joined by equality.
     """
     spans = functions.select("path", "name", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / BUCKET), F.floor(F.col("last") / BUCKET))).alias("bucket"))
-    rows = calls.withColumn("bucket", F.floor(F.col("line") / BUCKET)).join(spans, ["path", "bucket"]).filter("line BETWEEN first AND last")
+    asked = calls.withColumn("bucket", F.floor(F.col("line") / BUCKET)).alias("c")
+    around = (F.col("c.path") == F.col("f.path")) & (F.col("c.bucket") == F.col("f.bucket")) & F.col("line").between(F.col("first"), F.col("last"))
+    rows = asked.join(spans.alias("f"), around, "left" if outside else "inner").select("c.path", "line", "callee", "name", "first", "last")
     inner = Window.partitionBy("path", "line", "callee").orderBy(F.col("last") - F.col("first"), F.desc("first"), "name")
     return rows.withColumn("rn", F.row_number().over(inner)).filter("rn = 1").select("path", "line", "callee", F.col("name").alias("caller"))
 

@@ -384,10 +384,7 @@ _add("orphan_sources", lambda s, d: hydration.orphans(table(s, d, "reviews").sel
 def _calls(s: SparkSession, d: str) -> DataFrame:
     """Calls in chunks with the function around them."""
     files = _files(s, d).filter("lang IN ('python', 'rust', 'typescript', 'go')")
-    functions = documents.extract(files).filter("kind IN ('def', 'fn', 'function', 'func')").select("path", "name", F.col("line_start").alias("first"), F.col("line_end").alias("last"))
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("pos", "line_text"))
-    calls = lines.select("path", (F.col("pos") + 1).alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(r"\b([A-Za-z_]\w*)\("), F.lit(1)))).alias("callee"))
-    return hydration.callers(calls, functions)
+    return hydration.callers(documents.calls(files), documents.definitions(files), outside=True)
 
 
 _add("call_sites", _calls)
