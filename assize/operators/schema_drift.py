@@ -4,7 +4,8 @@
 ``islands`` turns that into lifespans (runs of consecutive files in which a
 field keeps its types) and the cast that brings each to the common schema;
 ``changes`` lists every start, end, renaming and change of type;
-``consistent`` reads all lines into one table.
+``consistent`` reads all lines into one table of all catalogued fields, by the
+same casts.
 
 Everything is a scan with a partial aggregation by (log, file, field), then
 windows over that catalogue, whose size follows files and fields, not lines.
@@ -12,6 +13,7 @@ windows over that catalogue, whose size follows files and fields, not lines.
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +58,14 @@ TARGETS = {
     "provenance.dirty": "boolean",
 }
 
+#: Columns that the common table always has, in this order; further catalogued fields follow.
+CORE = (
+    "file_path", "finding_title", "finding_category", "reason", "rule_id", "fp_kind", "finding_id", "agent", "agent_model", "input_severity", "output_severity",
+    "confidence", "tp_weight", "fp_weight", "wontfix_weight", "soft_fp_weight", "verdict", "model", "ts", "provenance_kind", "annotator", "commit_sha", "repo", "tool_version",
+)
+#: Most fields of one catalogue; each becomes a column or a part of one.
+MOST_FIELDS = 2_000
+
 
 def canonical(field: Column) -> Column:
     """Common name of a field: from the alias table, else the name itself in snake case."""
@@ -153,7 +163,9 @@ def islands(raw: DataFrame, nested: str = "provenance", nested_logs: str = "trac
     span = Window.partitionBy("log_name", "field").orderBy("place")
     starts = F.col("place_before").isNull() | (F.col("place_before") != F.col("place") - 1) | (F.col("types_before") != F.col("types"))
     common = canonical(F.col("field"))
-    target = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TARGETS.items() for x in kv]), common), F.lit("string"))
+    text = F.concat(F.lit("get_json_object(line_text, '$."), F.col("field"), F.lit("')"))
+    shaped = {n: F.replace(F.lit(_cast("{text}", n)), F.lit("{text}"), text) for n in TARGETS}
+    cast = reduce(lambda rest, n: F.when(common == n, shaped[n]).otherwise(rest), TARGETS, text)
     return (
         _placed(raw, nested, nested_logs)
         .withColumn("island", F.sum(starts.cast("int")).over(span))
@@ -167,7 +179,7 @@ def islands(raw: DataFrame, nested: str = "provenance", nested_logs: str = "trac
             "first_file",
             "last_file",
             "n_files",
-            F.concat(F.lit("try_cast(get_json_object(line_text, '$."), F.col("field"), F.lit("') AS "), target, F.lit(") AS `"), common, F.lit("`")).alias("cast"),
+            F.concat(cast, F.lit(" AS `"), common, F.lit("`")).alias("cast"),
         )
     )
 
@@ -212,48 +224,88 @@ def changes(raw: DataFrame, nested: str = "provenance", nested_logs: str = "trac
     return moved.unionByName(retyped)
 
 
-def _read(name: str) -> Column:
-    """Text of a field under any of its names."""
-    paths = [name, *ALIASES.get(name, ())]
-    return F.coalesce(*[F.get_json_object("line_text", f"$.{p}") for p in paths])
+def _cast(text: str, common: str) -> str:
+    """SQL that reads a field's text into the type of its common name, null where that fails."""
+    target = TARGETS.get(common, "string")
+    if target == "timestamp":  # ISO text, epoch milliseconds, or an object of seconds and microseconds
+        part = lambda k: f"try_cast(get_json_object({text}, '$.{k}') AS bigint)"
+        micros = f"try_add(try_multiply({part('s')}, 1000000L), coalesce({part('us')}, 0L))"
+        return f"coalesce(timestamp_micros({micros}), CASE WHEN {text} RLIKE '^[0-9]{{1,15}}$' THEN timestamp_millis(try_cast({text} AS bigint)) END, try_to_timestamp({text}))"
+    return text if target == "string" else f"try_cast({text} AS {target})"
 
 
-def _time(text: Column) -> Column:
-    """Timestamp from ISO text, epoch milliseconds or an object of seconds and microseconds."""
-    seconds, micros = F.get_json_object(text, "$.s").try_cast("long"), F.get_json_object(text, "$.us").try_cast("long")
-    return F.coalesce(
-        F.timestamp_micros(seconds * 1_000_000 + F.coalesce(micros, F.lit(0))),
-        F.when(text.rlike(r"^\d+$"), F.timestamp_millis(text.try_cast("long"))),
-        F.try_to_timestamp(text),
-    )
+def _fields(raw: DataFrame, lines: DataFrame, nested: str, nested_logs: str) -> dict[str, list[str]]:
+    """The catalogued fields by common name, each name's own spelling first; members of ``nested`` held as text too."""
+    inside = lines.filter(F.col("log_name").startswith(nested_logs)).select(F.explode(F.map_keys("members")).alias("member")).select(F.concat(F.lit(f"{nested}."), "member").alias("field"))
+    seen = observe(raw, nested, nested_logs).select("field").unionByName(inside).distinct()
+    rows = seen.select("field", canonical(F.col("field")).alias("common")).limit(MOST_FIELDS + 1).collect()
+    if len(rows) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields")
+    out: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["common"], r["field"] != r["common"], r["field"])):
+        out.setdefault(r["common"], []).append(r["field"])
+    return out
 
 
-def consistent(raw: DataFrame) -> DataFrame:
+def consistent(raw: DataFrame, nested: str = "provenance", nested_logs: str = "trace") -> DataFrame:
     """All whole JSON objects as one table with common names and types.
 
-    Lines that aren't whole objects are left out; a value that can't be read
-    in its type becomes null.
+    Columns: ``CORE``, then every further common name of the catalogue (members
+    of ``nested`` as ``provenance_x``), typed by ``TARGETS``, else as text.
+    Members of ``nested`` are read from an object and from a string that holds
+    one. ``raw_values`` is a JSON object of the texts that the columns don't
+    hold, by field: those that can't be read in their type, verdicts and models
+    with more than their name, and a second spelling with another value.
+    Lines that aren't whole objects are left out.
     """
-    text = {n: _read(n) for n in ("file_path", "finding_title", "finding_category", "reason", "rule_id", "fp_kind", "finding_id", "agent", "agent_model", "input_severity", "output_severity")}
-    numbers = {n: _read(n).try_cast("double") for n in ("confidence", "tp_weight", "fp_weight", "wontfix_weight", "soft_fp_weight")}
-    model, origin, tool = _read("model"), _read("provenance"), _read("provenance.tool_version")
-    return raw.filter(is_object(F.col("line_text"))).select(
-        "log_name",
-        "file_no",
-        "line_no",
-        *[c.alias(n) for n, c in text.items()],
-        *[c.alias(n) for n, c in numbers.items()],
-        verdict(_read("verdict")).alias("verdict"),
-        F.coalesce(F.get_json_object(model, "$.name"), F.when(~model.startswith("{"), model)).alias("model"),
-        _time(_read("ts")).alias("ts"),
-        F.when(origin.isNotNull(), provenance_kind(origin)).alias("provenance_kind"),
-        annotator(origin).alias("annotator"),
-        F.coalesce(_read("provenance.commit_sha")).alias("commit_sha"),
-        _read("provenance.repo").alias("repo"),
-        tool.alias("tool_version"),
+    lines = raw.filter(is_object(F.col("line_text"))).select("log_name", "file_no", "line_no", F.from_json("line_text", "map<string,string>").alias("fields"))
+    origin = F.coalesce(*[F.col("fields")[f] for f in (nested, *ALIASES.get(nested, ()))])
+    lines = lines.withColumn("members", F.when(origin.rlike(r"^\s*\{"), F.from_json(origin, "map<string,string>")))
+    fields = _fields(raw, lines, nested, nested_logs)
+
+    reads, held, extra = {}, {}, []
+    for common, spellings in fields.items():
+        for f in spellings:
+            place = f"members['{_quoted(f[len(nested) + 1 :])}']" if f.startswith(f"{nested}.") else f"fields['{_quoted(f)}']"
+            text, value, k = F.expr(place), F.expr(_cast(place, common)), len(reads) // 2
+            if common == "verdict":
+                value = verdict(text)
+            elif common == "model":
+                value = F.coalesce(F.get_json_object(text, "$.name"), F.when(~text.startswith("{"), text))
+            reads |= {f"text{k}": text, f"value{k}": value}
+            before = held.setdefault(common, [])
+            lost = F.col(f"value{k}").isNull()
+            if before:
+                lost |= F.coalesce(*before) != F.col(f"value{k}")
+            if common == "verdict":
+                lost |= F.col(f"text{k}").startswith("{") & ~F.col(f"text{k}").rlike(r'^\{\s*"[^"]*"\s*:\s*\{\s*\}\s*\}$')
+            elif common == "model":
+                lost |= F.col(f"text{k}").startswith("{")
+            extra.append((f, F.when(lost, F.col(f"text{k}"))))
+            before.append(F.col(f"value{k}"))
+
+    column = {common: F.coalesce(*values) for common, values in held.items()}
+    source = column.pop(nested, F.lit(None).cast("string"))
+    typed = lambda n: F.lit(None).cast(TARGETS.get(n, "string"))
+    out = {n: column.pop(n, typed(n)) for n in CORE if n not in ("provenance_kind", "annotator", "commit_sha", "repo", "tool_version")}
+    out |= {"provenance_kind": F.when(source.isNotNull(), provenance_kind(source)), "annotator": annotator(source)}
+    out |= {n: column.pop(f"{nested}.{n}", typed(n)) for n in ("commit_sha", "repo", "tool_version")}
+    out[nested] = source
+    for n, c in sorted(column.items()):
+        n = n.replace(".", "_")
+        while n in out or n in ("log_name", "file_no", "line_no", "raw_values"):
+            n += "_2"
+        out[n] = c
+    kept = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f, _ in extra]), F.array(*[c for _, c in extra])), lambda _, v: v.isNotNull()) if extra else F.lit(None).cast("map<string,string>")
+    return lines.select("log_name", "file_no", "line_no", *[c.alias(n) for n, c in reads.items()]).select(
+        "log_name", "file_no", "line_no", *[c.alias(n) for n, c in out.items()], F.when(F.size(kept) > 0, F.to_json(kept)).alias("raw_values")
     )
 
 
+def _quoted(field: str) -> str:
+    return field.replace("\\", "\\\\").replace("'", "\\'")
+
+
 def oracle_changes() -> str:
     """The SQL of ``changes`` for DuckDB."""
     rows = ", ".join(f"('{o}', '{name}')" for name, others in ALIASES.items() for o in others)
