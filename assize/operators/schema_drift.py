@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.records import annotator, provenance_kind, verdict
+from ..functions.records import VERDICTS, annotator, provenance_kind, verdict
 from ..storage import materialize
 
 #: Names under which producers write a field, by the field's common name (fixed values).
@@ -234,6 +234,12 @@ def _cast(text: str, common: str) -> str:
     return text if target == "string" else f"try_cast({text} AS {target})"
 
 
+def _verdict(text: Column) -> Column:
+    """A verdict from any encoding, its number in the order of declaration included."""
+    numbered = F.coalesce(*[F.when(text == str(n), name) for n, name in enumerate(VERDICTS[:4])])
+    return F.coalesce(verdict(text), numbered)
+
+
 def _fields(raw: DataFrame, lines: DataFrame, nested: str, nested_logs: str) -> dict[str, list[str]]:
     """The catalogued fields by common name, each name's own spelling first; members of ``nested`` held as text too."""
     inside = lines.filter(F.col("log_name").startswith(nested_logs)).select(F.explode(F.map_keys("members")).alias("member")).select(F.concat(F.lit(f"{nested}."), "member").alias("field"))
@@ -269,7 +275,7 @@ def consistent(raw: DataFrame, nested: str = "provenance", nested_logs: str = "t
             place = f"members['{_quoted(f[len(nested) + 1 :])}']" if f.startswith(f"{nested}.") else f"fields['{_quoted(f)}']"
             text, value, k = F.expr(place), F.expr(_cast(place, common)), len(reads) // 2
             if common == "verdict":
-                value = verdict(text)
+                value = _verdict(text)
             elif common == "model":
                 value = F.coalesce(F.get_json_object(text, "$.name"), F.when(~text.startswith("{"), text))
             reads |= {f"text{k}": text, f"value{k}": value}

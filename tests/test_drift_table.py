@@ -29,3 +29,17 @@ def test_no_lines(spark):
     df = D.consistent(spark.createDataFrame([("trace-1", 1, 0, "# note")], SCHEMA))
     assert df.count() == 0 and set(D.CORE) <= set(df.columns)
 
+
+def test_numbered_verdicts_provenance_in_text_and_unread_values(spark):
+    got, _ = table(spark, {
+        "feedback-1": [*({"verdict": n} for n in (0, 1, 2, 3, 7)), {"outcome": {"context_misleading": {"ids": ["c"]}}}, {"conf": "high", "ts": "soon", "verdict": {"tp": {}}}, {"file_path": "a", "location": "b", "ts": 10**18}],
+        "trace-1": [{"provenance": json.dumps({"commit_sha": "s", "project": "p", "version": "1", "only_here": 5})}, {"provenance": "{cut"}],
+    })
+    verdicts = [got["feedback-1", k]["verdict"] for k in range(7)]
+    assert verdicts == ["tp", "fp", "partial", "wontfix", None, "context_misleading", "tp"]
+    kept = [json.loads(got["feedback-1", k]["raw_values"] or "{}") for k in range(8)]
+    assert kept[:4] == [{}] * 4 and kept[4] == {"verdict": "7"} and kept[5] == {"outcome": '{"context_misleading":{"ids":["c"]}}'}
+    assert kept[6] == {"conf": "high", "ts": "soon"} and kept[7] == {"location": "b", "ts": str(10**18)}
+    r = got["trace-1", 0]
+    assert (r["commit_sha"], r["repo"], r["tool_version"], r["provenance_only_here"]) == ("s", "p", "1", "5")
+    assert got["trace-1", 1]["provenance"] == "{cut" and got["trace-1", 1]["commit_sha"] is None
