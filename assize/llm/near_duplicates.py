@@ -140,19 +140,19 @@ def links(findings: DataFrame, threshold: float = 0.6, span: int = 10, branches:
     return checked.filter(F.col("similarity") >= threshold), members.select("id", "site", F.col("line").isNotNull().alias("has_line")).join(usable.select("id").withColumn("usable", F.lit(True)), "id", "left")
 
 
-def found(findings: DataFrame, threshold: float = 0.6, span: int = 10, expand: int = 200) -> DataFrame:
+def found(findings: DataFrame, threshold: float = 0.6, span: int = 10, expand: int = 200, all_across: bool = False) -> DataFrame:
     """``id_a, id_b`` of all linked findings, smaller id first.
 
     Copies (equal words and line) are linked with one another. A site of more
     than ``expand`` copies is not written out in all pairs: each of its copies
-    is linked with the site's smallest id, and that one with other sites;
-    ``groups`` has the membership.
+    is linked with the site's smallest id, and that one with other sites, or
+    with ``all_across`` every copy with other sites; ``groups`` has the membership.
     """
     between, members = links(findings, threshold, span)
     members = materialize(members.filter("usable").select("id", "site"), "member")
     sizes = members.groupBy("site").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     sized = members.join(sizes, "site")
-    speaking = materialize(sized.filter((F.col("n") <= expand) | (F.col("id") == F.col("first"))).select("site", "id"), "speaking")
+    speaking = materialize(sized.filter((F.col("n") <= expand) | (F.col("id") == F.col("first")) | F.lit(all_across)).select("site", "id"), "speaking")
     across = (
         between.select("a", "b")
         .join(speaking.select(F.col("site").alias("a"), F.col("id").alias("x")), "a")

@@ -19,7 +19,7 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: consensus.found(table(s, d, "feedback")),
         "p5_items": lambda s, d: consensus.agree(table(s, d, "feedback"))[0],
         "p5_annotators": lambda s, d: consensus.agree(table(s, d, "feedback"))[1],
-        "p2_found": lambda s, d: near_duplicates.found(table(s, d, "findings")),
+        "p2_found": lambda s, d: near_duplicates.found(table(s, d, "findings"), all_across=True),
         "p2_groups": lambda s, d: near_duplicates.groups(table(s, d, "findings")),
         "p4_found": lambda s, d: credentials.found(table(s, d, "chunks")),
         "p4_redacted": lambda s, d: credentials.scan(table(s, d, "chunks")),
