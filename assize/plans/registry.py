@@ -267,6 +267,31 @@ _add("injection_packing", _packed,
   FROM w JOIN k ON k.query_id = w.query_id AND k.pos = w.pos + 1)
  SELECT query_id, id::VARCHAR AS id, n::INT AS place, tokens::BIGINT AS tokens FROM w WHERE taken""")
 
+
+
+def _chunk_candidates(s: SparkSession, d: str, most: int = 40) -> DataFrame:
+    """Chunks that BM25, hashed vectors or a name in backticks finds for findings on every hundredth line."""
+    chunks = table(s, d, "chunks")
+    said = F.concat_ws(" ", "title", "description")
+    asked = materialize(
+        table(s, d, "findings").filter("line_start % 100 = 0").select(
+            F.col("id").alias("query_id"), retrieval.terms(said).alias("terms"), embedding.embedding(said, 64).alias("vec"), text.backtick_identifiers(F.col("title")).alias("names"), scanning.language(F.col("file_path")).alias("q_lang")), "asked")
+    held = materialize(chunks.select("id", retrieval.terms(F.col("content")).alias("terms"), embedding.embedding(F.col("content"), 64).alias("vec")), "held")
+    legs = retrieval.bm25(asked.select("query_id", "terms"), held, most), retrieval.knn(asked.select("query_id", "vec"), held, most), retrieval.structural(asked, chunks)
+    meta = chunks.select("id", scanning.language(F.col("source_path")).alias("lang"), "indexed_at")
+    return retrieval.candidate_union(*legs).join(asked.select("query_id", "q_lang"), "query_id").join(meta, "id").select(
+        "query_id", "id", "bm25", "vec", "exact", F.coalesce(F.col("q_lang") == F.col("lang"), F.lit(False)).alias("same_lang"), "indexed_at")
+
+
+def _chunk_packing(s: SparkSession, d: str) -> DataFrame:
+    ranked = retrieval.rerank(_chunk_candidates(s, d), NOW_US, 20)
+    content = table(s, d, "chunks").select("id", "content", (F.col("chunk_kind") != "doc").alias("is_symbol"))
+    return retrieval.pack(ranked.join(content, "id"), budget=2000, most=8)
+
+
+_add("chunk_retrieval", lambda s, d: retrieval.rerank(_chunk_candidates(s, d), NOW_US, 10))
+_add("chunk_packing", _chunk_packing)
+
 _WEIGHTS = {"cobalt-scheduler": 2.0, "amber-notifier": 1.5, "birch-vault": 1.0}
 _RANKED = "CASE source WHEN 'cobalt-scheduler' THEN 2.0 WHEN 'amber-notifier' THEN 1.5 WHEN 'birch-vault' THEN 1.0 ELSE 0.0 END"
 _add("precedence_dedup", lambda s, d: retrieval.precedence(table(s, d, "chunks"), _WEIGHTS),
