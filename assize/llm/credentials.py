@@ -21,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words before a user and password (fixed values).
+_LOGIN_WORDS = ("login", "log in", "credential", "credentials", "creds", "account")
 #: Strings of which one occurs (in lower case) in every text with a credential (fixed values).
 KEYWORDS = (
+    *_LOGIN_WORDS,
     "pass", "pwd", "pw", "secret", "token", "api_key", "apikey", "api-key", "access_key", "accesskey", "private key", "bearer",
-    "basic ", "credential", "auth", "login", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-",
+    "basic", "auth", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-",
     "sk_live_", "rk_live_", "sk-", "xox", "aiza", "npm_", "sg.", "eyj", "://", "hvs.", "dop_v1_", "sig=", "signature", "key",
 )
 
@@ -62,13 +65,13 @@ _NOT_NAME = re.compile(r"(?i)(?:^|[_\-])(?:max|min|num|n|total|used|per|input|ou
 _STRING = r"(?:[rbuf]{0,2})(?:\"\"\"(?P<a>.*?)\"\"\"|\"(?P<b>(?:[^\"\\\n]|\\.)*)\"|'(?P<c>(?:[^'\\\n]|\\.)*)'|`(?P<d>[^`]*)`)"
 #: What stands between a name and the literal given to it: closing quotes and brackets, a type, an operator, a conversion.
 _GIVEN = re.compile(
-    r"[\"'`\]]{0,2}\s{0,3}(?::\s{0,2}&?(?:'static\s)?[A-Za-z_][\w<>&]{0,40}\s{0,2}(?==))?(?::=|=>|=|:|,)\s{0,40}(?:[A-Za-z_][\w:]{0,30}\()?" + _STRING, re.S
+    r"[\"'`\]]{0,2}(?:[ \t]*|\s{0,3})(?::\s{0,2}&?(?:'static\s)?[A-Za-z_][\w<>&]{0,40}(?:[ \t]*|\s{0,2})(?==))?(?::=|=>|=|:|,)\s{0,40}(?:[A-Za-z_][\w:]{0,30}\()?" + _STRING, re.S
 )
 _TICKED = re.compile(r"`\s+`(?P<d>[^`\n]+)`")
 _ATTRIBUTE = re.compile(r"\"\s+value\s*=\s*\"(?P<b>[^\"\n]+)\"")
 _MORE = re.compile(r"\s*(?:\+|\.\.|\\\n)?\s*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
-_BARE = re.compile(r"\s{0,2}(?P<op>=|:)[ \t]{0,8}(?P<value>[^\s\"'`,;(){}\[\]<>][^\s\"'`,;()<>]*)(?P<rest>[^\n]*)")
-_LOGIN = re.compile(r"(?i:\b(?:login|log in|credentials?|creds|account)\s{0,3}(?:is|are|:|=)?\s{0,3})(?P<user>[A-Za-z0-9_.@\-]+)\s{0,3}/\s{0,3}(?P<value>[^\s\"'`/,;]{6,})")
+_BARE = re.compile(r"(?:[ \t]*|\s{0,2})(?P<op>=|:)[ \t]{0,8}(?P<value>[^\s\"'`,;(){}\[\]<>][^\s\"'`,;()<>]*)(?P<rest>[^\n]*)")
+_LOGIN = re.compile(rf"(?i:\b(?:{'|'.join(_LOGIN_WORDS)})\s{{0,3}}(?:is|are|:|=)?\s{{0,3}})(?P<user>[A-Za-z0-9_.@\-]+)\s{{0,3}}/\s{{0,3}}(?P<value>[^\s\"'`/,;]{{6,}})")
 
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:|x+|\*+|\.+|-+|_+|0+|#+|todo|tbd|fixme|none|null|nil|undefined|true|false|change[_\-]?me|changeit|redacted|removed|masked|hidden|example|sample|dummy|placeholder|secret|password|token|test|admin|root|user|n/?a)$"
@@ -105,9 +108,14 @@ def _sensitive(key: str) -> bool:
     return bool(_NAME.search(name)) and not _NOT_NAME.search(name)
 
 
-def _pem_body(body: str) -> bool:
-    text = re.sub(r"\\n|\\r|[\s\"'+\\|`#/*]", "\n", body[:2000])
-    return any(re.fullmatch(r"[A-Za-z0-9+/=]{24,}", x) and len(set(x)) > 8 for x in text.split("\n"))
+def _pem_body(body: str, closed: bool = True) -> bool:
+    """Whether a key block has key material; far into a block without end only whole lines of it count."""
+    text = re.sub(r"\\n|\\r|[\s\"'+\\|`#/*]", "\n", body if closed else body[:2000])
+    if any(re.fullmatch(r"[A-Za-z0-9+/=]{24,}", x) and len(set(x)) > 8 for x in text.split("\n")):
+        return True
+    return not closed and any(
+        re.fullmatch(r"[A-Za-z0-9+/]{40,}={0,2}", x := line.strip(" \t\r\"'+,;|#*\\")) and all(re.search(c, x) for c in ("[a-z]", "[A-Z]", "[0-9]")) for line in body[2000:].split("\n")
+    )
 
 
 def _names(text: str) -> Iterator[tuple[int, int]]:
@@ -161,7 +169,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         found.append((start, end, kind))
 
     for m in _PEM.finditer(text):
-        if _pem_body(m["body"]):
+        if _pem_body(m["body"], text.startswith("-----END", m.end("body"))):
             add(m.start(), m.end("body"), "private_key")
     for m in _ISSUED.finditer(text):
         if _issued(m.lastgroup, m.group()):
