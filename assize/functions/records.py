@@ -30,13 +30,15 @@ def usable_finding_id(c: Column) -> Column:
     the id are dropped.
     """
     bare = F.upper(F.regexp_replace(F.regexp_replace(c, r"(?i)^\W*finding(_?id)?\s*[:=#/]\s*", ""), r"[^0-9A-Za-z]", ""))
-    return F.when(~bare.isin(*ID_PLACEHOLDERS), bare)
+    # Most ids are written plainly, and none of the placeholders is so long.
+    return F.when(c.rlike(r"^[0-9A-Za-z]{20,}\z"), F.upper(c)).otherwise(F.get(F.filter(F.array(bare), lambda b: ~b.isin(*ID_PLACEHOLDERS)), 0))
 
 
 def _tag(c: Column, key: str) -> Column:
     """The discriminator of an enum stored as a bare word, quoted word or JSON object."""
     s = F.trim(c)
-    inner = F.coalesce(F.get_json_object(s, f"$.{key}"), F.get(F.json_object_keys(s), 0))
+    named = F.when(s.contains(f'"{key}"'), F.get_json_object(s, f"$.{key}"))
+    inner = F.coalesce(named, F.get(F.json_object_keys(s), 0))
     return F.when(s.startswith("{"), inner).otherwise(F.split(s, ":").getItem(0))
 
 
@@ -85,12 +87,10 @@ def annotator(c: Column) -> Column:
     k = provenance_kind(c)
 
     def payload(keys: str, tag: str) -> Column:
-        keyed = F.regexp_extract(c, rf'"(?:{keys})"\s*:\s*"([^"]*)"', 1)
-        tagged = F.regexp_extract(c, rf'(?i)^\s*\{{\s*"{tag}"\s*:\s*"([^"]*)"', 1)
-        bare = F.regexp_extract(c, rf"(?i)^\s*{tag}\s*:(.*)$", 1)
-        name = F.when(keyed != "", keyed).when(tagged != "", tagged).otherwise(bare)
-        name = F.lower(F.regexp_replace(name, r"\s+", ""))
-        return F.when(name != "", name)
+        name = r'"([^"]*[^"\s][^"]*)"'
+        forms = (rf'"(?:{keys})"\s*:\s*{name}', rf'(?i)^\s*\{{\s*"{tag}"\s*:\s*{name}', rf"(?i)^\s*{tag}\s*:(.*\S.*)$")
+        found = F.coalesce(*[F.get(F.regexp_extract_all(c, F.lit(f), F.lit(1)), 0) for f in forms])  # a later form only where none before matches
+        return F.lower(F.regexp_replace(found, r"\s+", ""))
 
     return (
         F.when(k.isin("human", "post_fix"), k)
