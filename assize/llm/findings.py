@@ -10,6 +10,8 @@ from ..storage import materialize
 
 #: Columns in which a row without a usable id must equal a row that has one.
 SAME_ROW = ("file_path", "finding_title", "reason", "ts")
+#: The two halves of the 128-bit hash by which equal rows meet.
+SAME = ("same_a", "same_b")
 
 
 def finding_rows(feedback: DataFrame, *extra: str) -> DataFrame:
@@ -28,11 +30,11 @@ def finding_rows(feedback: DataFrame, *extra: str) -> DataFrame:
         F.col("seq"),
         trust_rank(F.col("provenance")).alias("trust"),
         effective_micros(F.col("ts"), F.col("received_at")).alias("us"),
-        F.md5(F.to_json(F.struct(*SAME_ROW))).alias("same"),  # nulls are left out of the text, so null differs from ''
+        *[F.xxhash64(F.lit(k), *[x for c in SAME_ROW for x in (F.isnull(c), F.col(c))]).alias(name) for k, name in enumerate(SAME)],
         *[F.col(c).alias(f"x_{c}") for c in extra],
     )
     keyed = materialize(keyed, "keyed")
     own = keyed.filter(F.col("fid").isNotNull())
-    known = own.select("fid", "same").distinct()
-    lost = keyed.filter(F.col("fid").isNull()).drop("fid").join(known, "same").select(keyed.columns)
+    known = own.select("fid", *SAME).distinct()
+    lost = keyed.filter(F.col("fid").isNull()).drop("fid").join(known, list(SAME)).select(keyed.columns)
     return own.unionByName(lost).select("fid", "seq", "trust", "us", *[F.col(f"x_{c}").alias(c) for c in extra])
