@@ -3,15 +3,21 @@
 Competence-and-spamming mixture: with probability ``competence`` an annotator
 gives the true label, else a label drawn from a guess distribution of their
 own. Expectation-maximisation yields the posterior of each item's label, each
-competence and each guess distribution. Every iteration is two aggregations
-over the votes (at most one per item and annotator) and a join with the small
-table of annotators.
+competence and each guess distribution.
+
+Items with the same votes by the same annotators have the same posterior, so
+they are first counted by vote pattern: a step of the iteration reads one
+weighted item per pattern, and only the end joins the patterns with the items.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,71 +41,130 @@ def votes(feedback: DataFrame) -> DataFrame:
     )
 
 
-def _posterior(cast: DataFrame, people: DataFrame, prior: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """``fid, p_<k>`` for each label k, from votes, annotators and label prior (one row)."""
-    joined = cast.join(people, "who")
-    guess = reduce(lambda acc, k: acc.when(F.col("label") == labels[k], F.col(f"g_{k}")), range(1, len(labels)), F.when(F.col("label") == labels[0], F.col("g_0")))
-    spam = (1 - F.col("competence")) * guess
-    logs = [F.sum(F.log(F.when(F.col("label") == v, F.col("competence")).otherwise(0.0) + spam)).alias(f"l_{k}") for k, v in enumerate(labels)]
-    ks = range(len(labels))
-    scored = joined.groupBy("fid").agg(*logs).crossJoin(F.broadcast(prior))  # prior is one row
-    scored = scored.withColumns({f"l_{k}": F.col(f"l_{k}") + F.log(f"prior_{k}") for k in ks})
-    top = F.greatest(*[F.col(f"l_{k}") for k in ks])
-    total = reduce(lambda a, b: a + b, [F.exp(F.col(f"l_{k}") - top) for k in ks])
-    return scored.select("fid", *[(F.exp(F.col(f"l_{k}") - top) / total).alias(f"p_{k}") for k in ks])
-
-
-def _initial(cast: DataFrame, labels: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Everyone is truthful half of the time and else guesses as they vote, so a vote that its annotator always gives says little."""
-    k = len(labels)
-    people = cast.groupBy("who").agg(
-        F.lit(0.5).alias("competence"), *[((F.count_if(F.col("label") == v) + 0.5) / (F.count("*") + 0.5 * k)).alias(f"g_{i}") for i, v in enumerate(labels)]
-    )
-    prior = cast.sparkSession.range(1).select(*[F.lit(1.0 / k).alias(f"prior_{i}") for i in range(k)])
-    return materialize(people.coalesce(1), "annotators"), prior
+#: Identify a pattern: two hashes of its votes and their number.
+PATTERN = ("sign_a", "sign_b", "n_votes")
+#: Most annotators of one call: their parameters, some 50 bytes each, go to every task.
+MOST_ANNOTATORS = 1_000_000
 
 
-def fit(cast: DataFrame, labels: tuple[str, ...] = VERDICTS, iterations: int = 20, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
-    """Posterior per item and parameters per annotator.
+def patterns(cast: DataFrame, labels: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``fid`` and pattern of every item; one row per pattern with its ``weight`` (number of items) and votes; the annotators.
 
-    Ends when no competence moves by more than ``tolerance``. Smoothing keeps every
-    parameter inside (0, 1), so single votes and unanimous annotators are safe.
+    A row's votes are ``whos`` (places in the list of annotators) and ``said``
+    (places in ``labels``), at most one per annotator.
     """
-    ks = range(len(labels))
-    people, prior = _initial(cast, labels)
-    for _ in range(iterations):
-        post = materialize(_posterior(cast, people, prior, labels), "labels")
-        joined = cast.join(people, "who").join(post, "fid")
-        of_label = lambda p: reduce(lambda acc, k: acc.when(F.col("label") == labels[k], F.col(f"{p}_{k}")), ks[1:], F.when(F.col("label") == labels[0], F.col(f"{p}_0")))
-        truthful = of_label("p") * F.col("competence") / (F.col("competence") + (1 - F.col("competence")) * of_label("g"))
-        stats = (
-            joined.select("who", "label", "competence", truthful.alias("r"))
-            .groupBy("who")
-            .agg(
-                F.count("*").alias("n"),
-                F.first("competence").alias("before"),
-                F.sum("r").alias("r"),
-                *[F.sum(F.when(F.col("label") == labels[k], 1 - F.col("r")).otherwise(0.0)).alias(f"s_{k}") for k in ks],
-            )
-        )
-        spam_all = reduce(lambda a, b: a + b, [F.col(f"s_{k}") + 0.5 for k in ks])
-        people = materialize(
-            stats.select(
-                "who",
-                ((F.col("r") + 1) / (F.col("n") + 2)).alias("competence"),
-                *[((F.col(f"s_{k}") + 0.5) / spam_all).alias(f"g_{k}") for k in ks],
-                "before",
-                F.col("n").alias("n_items"),
-            ).coalesce(1),
-            "annotators",
-        )
-        sums = post.agg(F.count("*").alias("n"), *[F.sum(f"p_{k}").alias(f"t_{k}") for k in ks])
-        prior = materialize(sums.select(*[((F.coalesce(F.col(f"t_{k}"), F.lit(0.0)) + 1) / (F.col("n") + len(labels))).alias(f"prior_{k}") for k in ks]), "prior")
-        moved = people.agg(F.max(F.abs(F.col("competence") - F.col("before")))).first()[0]
-        if moved is None or moved < tolerance:
+    vote = lambda k: F.bit_xor(F.xxhash64(F.lit(k), "who", "label"))
+    signs = materialize(cast.groupBy("fid").agg(vote(0).alias("sign_a"), vote(1).alias("sign_b"), F.count("*").alias("n_votes")), "signs")
+    names = sorted(r[0] for r in cast.select("who").distinct().limit(MOST_ANNOTATORS + 1).collect())
+    if len(names) > MOST_ANNOTATORS:
+        raise ValueError(f"more than {MOST_ANNOTATORS} annotators")
+    placed = cast.sparkSession.createDataFrame(list(enumerate(names)), "place int, who string")
+    kinds = signs.groupBy(*PATTERN).agg(F.count("*").alias("weight"), F.min("fid").alias("fid"))
+    said = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label")).cast("int") - 1
+    votes_of = F.array_sort(F.collect_list(F.struct("place", said.alias("said"))))
+    packed = kinds.join(cast, "fid").join(F.broadcast(placed), "who").groupBy(*PATTERN, "weight").agg(votes_of.alias("v"))
+    return signs, materialize(packed.select(*PATTERN, "weight", F.col("v.place").alias("whos"), F.col("v.said").alias("said")), "patterns"), names
+
+
+@dataclass
+class Model:
+    """Competence per annotator, guess distribution per annotator, prior of the labels."""
+
+    competence: np.ndarray
+    guess: np.ndarray
+    prior: np.ndarray
+    n_items: np.ndarray
+    converged: bool = False
+
+    def posterior(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Posterior per row and label; and per vote its row, annotator, label and chance of being truthful."""
+        k = len(self.prior)
+        whos, said = (batch[c].flatten().to_numpy() for c in ("whos", "said"))
+        row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch["whos"]).to_numpy())
+        able, spam = self.competence[whos], (1 - self.competence[whos]) * self.guess[whos, said]
+        log = np.bincount(row, np.log(spam), len(batch))[:, None] + np.log(self.prior)
+        log += np.bincount(row * k + said, np.log(able + spam) - np.log(spam), len(batch) * k).reshape(-1, k)
+        p = np.exp(log - log.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return p, row, whos, said, p[row, said] * able / (able + spam)
+
+
+def _start(n: int, k: int) -> Model:
+    return Model(np.full(n, 0.5), np.full((n, k), 1.0 / k), np.full(k, 1.0 / k), np.zeros(n))
+
+
+def _sums(kinds: DataFrame, model: Model | None, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted sums of one step: per annotator ``items, truthful, guessed label 0..``, and per label the expected items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, labels = np.zeros((n, 2 + k)), np.zeros(k)
+        for batch in batches:
+            p, row, whos, said, r = (model or _start(n, k)).posterior(batch)
+            weight = batch["weight"].to_numpy().astype(float)
+            w = weight[row]
+            if model is None:
+                r = np.zeros(len(r))
+            total[:, 0] += np.bincount(whos, w, n)
+            total[:, 1] += np.bincount(whos, w * r, n)
+            total[:, 2:] += np.bincount(whos * k + said, w * (1 - r), n * k).reshape(n, k)
+            labels += (p * weight[:, None]).sum(axis=0)
+        seen = np.flatnonzero(total[:, 0])
+        rows = np.vstack([np.hstack([seen[:, None], total[seen]]), np.hstack([[-1.0, 0.0, 0.0], labels])[None]])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["place", *(f"x{i}" for i in range(2 + k))])
+
+    columns = [f"x{i}" for i in range(2 + k)]
+    parts = kinds.select("weight", "whos", "said").mapInArrow(run, "place double, " + ", ".join(f"{c} double" for c in columns))
+    total, labels = np.zeros((n, 2 + k)), np.zeros(k)
+    for r in parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).collect():  # one row per annotator
+        if r[0] < 0:
+            labels = np.array(r[3:])
+        else:
+            total[int(r[0])] = r[1:]
+    return total, labels
+
+
+def fit(kinds: DataFrame, n: int, k: int, iterations: int = 200, tolerance: float = 1e-3) -> Model:
+    """The model of ``n`` annotators and ``k`` labels, from the votes of the patterns.
+
+    At first everyone is truthful half of the time and else guesses as they
+    vote, so a vote that its annotator always gives says little. Ends when no
+    competence moves by more than ``tolerance``; ``converged`` says whether
+    that was reached. Smoothing keeps every parameter inside (0, 1), so single
+    votes and unanimous annotators are safe.
+    """
+    total, _ = _sums(kinds, None, n, k)
+    smoothed = lambda said: (said + 0.5) / (said.sum(axis=1, keepdims=True) + 0.5 * k)
+    model = Model(np.full(n, 0.5), smoothed(total[:, 2:]), np.full(k, 1.0 / k), total[:, 0], n == 0)
+    for _ in range(iterations if n else 0):
+        total, labels = _sums(kinds, model, n, k)
+        new = Model((total[:, 1] + 1) / (total[:, 0] + 2), smoothed(total[:, 2:]), (labels + 1) / (labels.sum() + k), total[:, 0])
+        new.converged = bool(np.abs(new.competence - model.competence).max() < tolerance)
+        model = new
+        if model.converged:
             break
-        people = people.drop("before")
-    return _posterior(cast, people.select("who", "competence", *[f"g_{k}" for k in ks]), prior, labels), people
+    return model
+
+
+def _judge(model: Model, labels: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(labels)
+        for batch in batches:
+            p, row, _, said, _ = model.posterior(batch)
+            counts = np.bincount(row * k + said, minlength=len(batch) * k).reshape(-1, k)
+            n, same = counts.sum(axis=1), (counts * (counts - 1)).sum(axis=1)
+            best = p.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch[c] for c in PATTERN),
+                    pa.array((counts > 0).sum(axis=1).astype(np.int32)),
+                    pa.array([labels[i] for i in best], pa.string()),
+                    pa.array(p.max(axis=1)),
+                    pa.array([a / (b * (b - 1)) if b > 1 else None for a, b in zip(same.tolist(), n.tolist())], pa.float64()),
+                ],
+                [*PATTERN, "n_labels", "consensus", "confidence", "agreement"],
+            )
+
+    return run
 
 
 def agree(feedback: DataFrame, labels: tuple[str, ...] = VERDICTS) -> tuple[DataFrame, DataFrame]:
@@ -108,31 +173,20 @@ def agree(feedback: DataFrame, labels: tuple[str, ...] = VERDICTS) -> tuple[Data
     First table: ``finding_id, n_annotators, n_labels, consensus, confidence,
     agreement`` (share of agreeing pairs of annotators; null for one). Ties of
     the posterior go to the label that comes first in ``labels``. Second table:
-    ``annotator, n_items, competence`` and one ``guess_<label>`` per label. An
-    empty table gives two empty tables.
+    ``annotator, n_items, competence``, one ``guess_<label>`` per label, and
+    ``converged``. An empty table gives two empty tables.
     """
     cast = materialize(votes(feedback), "votes")
-    post, people = fit(cast, labels)
-    ks = range(len(labels))
-    best = F.greatest(*[F.struct(F.col(f"p_{k}").alias("p"), F.lit(-k).alias("o"), F.lit(labels[k]).alias("v")) for k in ks])
-    counts = cast.groupBy("fid").agg(*[F.count_if(F.col("label") == v).alias(f"n_{k}") for k, v in enumerate(labels)])
-    n = reduce(lambda a, b: a + b, [F.col(f"n_{k}") for k in ks])
-    same = reduce(lambda a, b: a + b, [F.col(f"n_{k}") * (F.col(f"n_{k}") - 1) for k in ks])
-    items = (
-        post.join(counts, "fid")
-        .withColumn("best", best)
-        .select(
-            F.col("fid").alias("finding_id"),
-            n.alias("n_annotators"),
-            reduce(lambda a, b: a + b, [(F.col(f"n_{k}") > 0).cast("int") for k in ks]).alias("n_labels"),
-            F.col("best.v").alias("consensus"),
-            F.round("best.p", 6).alias("confidence"),
-            F.round(F.try_divide(same, n * (n - 1)), 6).alias("agreement"),
-        )
-    )
-    reliability = people.select(
-        F.col("who").alias("annotator"), "n_items", F.round("competence", 6).alias("competence"), *[F.round(f"g_{k}", 6).alias(f"guess_{v}") for k, v in enumerate(labels)]
+    signs, kinds, names = patterns(cast, labels)
+    model = fit(kinds, len(names), len(labels))
+    schema = "sign_a bigint, sign_b bigint, n_votes bigint, n_labels int, consensus string, confidence double, agreement double"
+    of_kind = kinds.select(*PATTERN, "whos", "said").mapInArrow(_judge(model, labels), schema)
+    items = signs.join(of_kind, list(PATTERN)).select(
+        F.col("fid").alias("finding_id"), F.col("n_votes").alias("n_annotators"), "n_labels", "consensus", F.round("confidence", 6).alias("confidence"), F.round("agreement", 6).alias("agreement")
     )
+    rows = [(w, int(model.n_items[i]), round(float(model.competence[i]), 6), *(round(float(g), 6) for g in model.guess[i]), model.converged) for i, w in enumerate(names)]
+    guesses = ", ".join(f"guess_{v} double" for v in labels)
+    reliability = feedback.sparkSession.createDataFrame(rows, f"annotator string, n_items bigint, competence double, {guesses}, converged boolean")
     return items, reliability
 
 
