@@ -131,8 +131,12 @@ def measure(documents: DataFrame, min_words: int = 20, max_distance: float = 0.5
 
 
 def found(documents: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``doc_id`` of documents of five or more words whose share of repeated runs reaches ``threshold``."""
-    return measure(documents).filter(F.col("repeated_share") >= threshold).select("doc_id")
+    """``doc_id`` of documents of five or more words whose share of repeated runs reaches ``threshold``.
+
+    Only the share is computed: a text that repeats a normal paragraph has
+    normal histograms, so no distance tells it (figures in the README).
+    """
+    return documents.select("doc_id", repeated_share(F.col("text")).alias("share")).filter(F.col("share") >= threshold).select("doc_id")
 
 
 FOUND_SQL = r"""
