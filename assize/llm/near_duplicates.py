@@ -5,13 +5,14 @@ numbers (bands overlap, so two texts close enough in line share one). A node
 with few texts is compared exhaustively. A larger one branches: for a few
 positions, chosen by a hash of the node, each text goes to the child named by
 its minwise word at that position, so similar texts meet again and others
-part. A node that hardly shrinks holds texts similar to one another and is
-compared as well. Independent trees are repeated until a pair at the threshold
-is found with the target recall.
+part. A node that hardly shrinks holds texts similar to one another; it is
+compared as well, in cells of bounded size. Independent trees are repeated
+until a pair at the threshold is found with the target recall.
 
-Comparing first matches one-bit minwise sketches, then counts shared words
-exactly, so every link reported is a true one. Texts equal in words and line
-are one site throughout: copies, however many, are searched once.
+A level is one shuffle by node. Comparing first matches one-bit minwise
+sketches, a whole batch of nodes at a time, then counts shared words exactly,
+so every link reported is a true one. Texts equal in words and line are one
+site throughout: copies, however many, are searched once.
 """
 
 from __future__ import annotations
@@ -22,147 +23,234 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
+from ..storage import materialize, release
 from .graph import components
-from .words import word_array, word_ids
+from .words import word_ids, words
 
 POSITIONS = 48
 BITS = 256
-LEAF = 32
+B = [f"b{k}" for k in range(BITS // 64)]
+#: Most texts of a node that is compared at once.
+LEAF = 96
+#: A node larger than this share of its parent doesn't branch again.
 SHRINK = 0.5
+#: Rows of one side of a cell, in which a large node or site meets itself.
+CELL = 2_000
+_PAIR, _LARGE, _DENSE = 0, 1, 2
 
 
-def trees_for(threshold: float, branches: int, depth: int, recall: float) -> int:
-    """Trees needed for ``recall`` of pairs at the threshold, if all nodes branch to ``depth``."""
+def trees_for(threshold: float, branches: int, recall: float) -> int:
+    """Trees needed for ``recall`` of pairs at the threshold, however deep the nodes branch."""
     lost = 0.0
-    for _ in range(depth):
+    for _ in range(1000):
         lost = (1 - threshold * (1 - lost)) ** branches
     return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
 
 
-def _members(findings: DataFrame) -> DataFrame:
-    text = F.concat_ws(" ", "title", "description")
-    ws = F.array_sort(F.array_distinct(word_array(text)))
-    return findings.select("id", F.col("line_start").cast("long").alias("line"), ws.alias("ws")).withColumn(
-        "site", F.xxhash64(F.concat_ws(" ", "ws"), F.coalesce("line", F.lit(-(1 << 40))))
-    )
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words, site, minwise words and sketch of each finding; empty lists for one without words or line."""
+    import xxhash
+
     rng = np.random.default_rng(20240229)
     odd = (rng.integers(1, 1 << 63, POSITIONS + BITS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     add = rng.integers(0, 1 << 63, POSITIONS + BITS, dtype=np.uint64)
+
+    def minima(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = ids[:, None] * odd + add
+            x ^= x >> np.uint64(32)
+            return np.minimum.reduceat(x, starts, axis=0)
+
     for batch in batches:
-        sigs, bits = [], []
-        for ws in batch["ws"].to_pylist():
+        for at in range(0, len(batch), 128):
+            part = batch.slice(at, 128)
+            sets = [sorted(set(words(" ".join(t for t in pair if t is not None)))) for pair in zip(part["title"].to_pylist(), part["description"].to_pylist())]
+            lines = part["line"].to_pylist()
+            sites = [xxhash.xxh64_intdigest(f"{line} {' '.join(ws)}") for ws, line in zip(sets, lines)]
+            full = [i for i, (ws, line) in enumerate(zip(sets, lines)) if ws and line is not None]
+            h = np.zeros((len(sets), POSITIONS + BITS), np.uint64)
+            ids = [word_ids(sets[i]) for i in full]
+            short = [k for k, x in enumerate(ids) if len(x) <= 2048]
+            if short:
+                h[[full[k] for k in short]] = minima(np.concatenate([ids[k] for k in short]), np.cumsum([0, *(len(ids[k]) for k in short[:-1])]))
+            for k, x in enumerate(ids):
+                if len(x) > 2048:
+                    h[full[k]] = reduce(np.minimum, [minima(x[i : i + 2048], np.array([0]))[0] for i in range(0, len(x), 2048)])
             with np.errstate(over="ignore"):
-                h = np.full(POSITIONS + BITS, np.iinfo(np.uint64).max, np.uint64)
-                ids = word_ids(ws)
-                for at in range(0, len(ids), 4096):
-                    x = ids[at : at + 4096, None] * odd + add
-                    x ^= x >> np.uint64(32)
-                    h = np.minimum(h, x.min(axis=0))
                 h = h * np.uint64(0xBF58476D1CE4E5B9)
-            sigs.append((h[:POSITIONS] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            bits.append(np.packbits((h[POSITIONS:] >> np.uint64(63)).astype(np.uint8)).view(">i8").astype(np.int64))
-        width = BITS // 64
-        table = np.array(bits, np.int64).reshape(-1, width)
-        yield pa.RecordBatch.from_arrays(
-            [batch["site"], batch["line"], pa.array(sigs, pa.list_(pa.int32())), *(pa.array(table[:, k]) for k in range(width))],
-            ["site", "line", "sig", *(f"b{k}" for k in range(width))],
-        )
+            sig = (h[:, :POSITIONS] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            bits = np.packbits((h[:, POSITIONS:] >> np.uint64(63)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+            usable = np.zeros(len(sets), bool)
+            usable[full] = True
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part["id"],
+                    part["line"],
+                    pa.array(sets, pa.list_(pa.string())),
+                    pa.array(np.array(sites, np.uint64).view(np.int64)),
+                    pa.array(usable),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, POSITIONS, dtype=np.int32)), pa.array(sig.ravel())),
+                    *(pa.array(bits[:, k]) for k in range(len(B))),
+                ],
+                ["id", "line", "ws", "site", "usable", "sig", *B],
+            )
+
+
+def _members(findings: DataFrame) -> DataFrame:
+    rows = findings.select("id", F.col("line_start").cast("long").alias("line"), "title", "description")
+    return rows.mapInArrow(_sketch, "id string, line bigint, ws array<string>, site bigint, usable boolean, sig array<int>, " + ", ".join(f"{b} bigint" for b in B))
 
 
-def _agree(a: str, b: str) -> Column:
-    return F.lit(BITS) - reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(BITS // 64)])
+def _least_bits(threshold: float) -> int:
+    agree = (1 + threshold) / 2
+    return math.floor(BITS * agree - 5.5 * math.sqrt(BITS * agree * (1 - agree)))
 
 
-def _compare(leaf: DataFrame, span: int, least_bits: int) -> DataFrame:
-    pairs = leaf.alias("x").join(leaf.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.site") < F.col("y.site")))
-    near = (F.abs(F.col("x.line") - F.col("y.line")) <= span) & (_agree("x", "y") >= least_bits)
-    return pairs.filter(near).select(F.col("x.site").alias("a"), F.col("y.site").alias("b"))
+def _level(span: int, least_bits: int):
+    """Compare the small nodes of a batch; pass the rows of the others on.
+
+    Rows come node by node, by line within a node, with the node's ``size``.
+    """
+
+    def near(node: np.ndarray, site: np.ndarray, line: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, i, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(node)), 0
+        while len(i):
+            k += 1
+            i = i[: np.searchsorted(i, len(node) - k)]
+            i = i[(node[i] == node[i + k]) & (line[i + k] - line[i] <= span)]
+            other = np.bitwise_count(bits[:, i] ^ bits[:, i + k]).sum(axis=0, dtype=np.int32)
+            hit = i[BITS - other >= least_bits]
+            a.append(np.minimum(site[hit], site[hit + k]))
+            b.append(np.maximum(site[hit], site[hit + k]))
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((4 + len(B), 0), np.int64)
+        for batch in batches:
+            cols = np.vstack([batch[c].to_numpy() for c in ("node", "size", "site", "line", *B)])
+            size, parent = cols[1], batch["parent"].to_numpy()
+            small, dense = size <= LEAF, size > SHRINK * parent
+            out: list[tuple] = []
+            for kind, which in ((_DENSE, ~small & dense), (_LARGE, ~small & ~dense)):
+                x = cols[:, which]
+                out.append((np.full(x.shape[1], kind, np.int8), x[2], x[2], x[0], x[1]))
+            rows = np.hstack([held, cols[:, small]])
+            end = rows.shape[1]
+            if end:
+                others = np.flatnonzero(rows[0] != rows[0][-1])
+                last = others[-1] + 1 if len(others) else 0
+                if end - last < rows[1][-1]:
+                    end = last  # the rest of that node is in the next batch
+            held, rows = rows[:, end:], rows[:, :end]
+            a, b = near(rows[0], rows[2], rows[3], rows[4:].view(np.uint64))
+            out.append((np.full(len(a), _PAIR, np.int8), a, b, a, a))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["kind", "a", "b", "node", "size"])
+
+    return run
+
+
+def _cells(rows: DataFrame, key: str, one: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join by ``key``, a large group cut into cells: join them on ``key, i, j``.
+
+    Every two rows of a group meet in exactly one cell if the join also asks
+    for the first row's ``one`` to be smaller where i equals j.
+    """
+    n = rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key, F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
+    cut = rows.join(n, key).withColumn("at", F.pmod(F.xxhash64(one), F.col("blocks")).cast("int"))
+    left = cut.select(key, F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"), one, *more)
+    right = cut.select(key, F.explode(F.sequence(F.lit(0), "at")).alias("i"), F.col("at").alias("j"), one, *more)
+    return left, right
+
+
+def _dense(rows: DataFrame, sites: DataFrame, span: int, least_bits: int) -> DataFrame:
+    left, right = _cells(rows.join(sites.select("site", "line", *B), "site"), "node", "site", "line", *B)
+    agree = F.lit(BITS) - reduce(lambda x, y: x + y, [F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in B])
+    on: Column = (F.col("x.node") == F.col("y.node")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.site") < F.col("y.site"))
+    near = (F.abs(F.col("x.line") - F.col("y.line")) <= span) & (agree >= least_bits)
+    return left.alias("x").join(right.alias("y"), on & once & near).select(F.least("x.site", "y.site").alias("a"), F.greatest("x.site", "y.site").alias("b"))
 
 
 def _candidates(sites: DataFrame, threshold: float, span: int, branches: int, depth: int, recall: float) -> DataFrame:
-    bits = [f"b{k}" for k in range(BITS // 64)]
-    sketches = materialize(
-        sites.select("site", "line", "ws").mapInArrow(_sketch, "site bigint, line bigint, sig array<int>, " + ", ".join(f"{b} bigint" for b in bits)), "sketches"
-    )
-    mean = BITS * (1 + threshold) / 2
-    least_bits = math.floor(mean - 5.5 * math.sqrt(BITS * (1 + threshold) / 2 * (1 - threshold) / 2))
-    trees = trees_for(threshold, branches, depth, recall)
-    band = F.floor(F.col("line") / max(span, 1))
-    roots = F.explode(F.array(F.xxhash64(band), F.xxhash64(band - 1)))
-    frontier = sketches.select(roots.alias("node"), F.lit(1 << 60).alias("parent"), "site", "line", *bits)
-    leaves: list[DataFrame] = []
+    least_bits = _least_bits(threshold)
+    trees = trees_for(threshold, branches, recall)
+    width = max(3 * span, 1)  # bands reach over the next one by ``span`` lines
+    band = F.floor(F.col("line") / width)
+    both = F.when(F.pmod("line", F.lit(width)) < span, F.array(band, band - 1)).otherwise(F.array(band))
+    frontier = sites.select(F.explode(F.transform(both, lambda b: F.xxhash64(b))).alias("node"), F.lit(1 << 60).alias("parent"), "site", "line", *B)
+    of_node = Window.partitionBy("node").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    written, dense = [], []
     for level in range(depth + 1):
-        frontier = materialize(frontier, f"level{level}")
-        sizes = frontier.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        sized = frontier.join(sizes, "node")
-        done = (F.col("size") <= LEAF) | (F.col("size") > SHRINK * F.col("parent")) | F.lit(level == depth)
-        leaves.append(sized.filter(done).select("node", "site", "line", *bits))
-        if level == depth:
-            break
-        large = materialize(sized.filter(~done).select("node", "size", "site"), f"large{level}")
+        # In the last level every larger node counts as dense.
+        parent = F.lit(0).cast("long") if level == depth else F.col("parent")
+        sized = frontier.withColumn("size", F.count("*").over(of_node)).filter("size > 1").select("node", "size", "site", "line", *B, parent.alias("parent"))
+        done = materialize(sized.mapInArrow(_level(span, least_bits), "kind tinyint, a bigint, b bigint, node bigint, size bigint"), f"level{level}")
+        written.append(done)
+        dense.append(done.filter(F.col("kind") == _DENSE).select(F.col("a").alias("site"), "node"))
+        large = done.filter(F.col("kind") == _LARGE).select(F.col("a").alias("site"), "node", "size")
         if large.isEmpty():
             break
         seeds = F.explode(F.sequence(F.lit(0), F.lit((trees if level == 0 else 1) * branches - 1)))
-        word = lambda: F.element_at("sig", (F.pmod(F.xxhash64("node", "seed"), F.lit(POSITIONS)) + 1).cast("int"))
+        word = F.element_at("sig", (F.pmod(F.xxhash64("node", "seed"), F.lit(POSITIONS)) + 1).cast("int"))
         frontier = (
-            large.join(sketches, "site")
-            .select("node", "size", "site", "line", "sig", *bits, seeds.alias("seed"))
-            .select(F.xxhash64("node", "seed", word()).alias("node"), F.col("size").alias("parent"), "site", "line", *bits)
+            large.join(sites.select("site", "line", "sig", *B), "site")
+            .select("node", "size", "site", "line", "sig", *B, seeds.alias("seed"))
+            .select(F.xxhash64("node", "seed", word).alias("node"), F.col("size").alias("parent"), "site", "line", *B)
         )
-    return reduce(DataFrame.unionByName, [_compare(x, span, least_bits) for x in leaves]).distinct()
+    pairs = [x.filter(F.col("kind") == _PAIR).select("a", "b") for x in written]
+    pairs.append(_dense(reduce(DataFrame.unionByName, dense), sites, span, least_bits))
+    found = materialize(reduce(DataFrame.unionByName, pairs).distinct(), "pairs")
+    release(*written)
+    return found
 
 
-def links(findings: DataFrame, threshold: float = 0.6, span: int = 10, branches: int = 3, depth: int = 5, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+def links(findings: DataFrame, threshold: float = 0.6, span: int = 10, branches: int = 3, depth: int = 8, recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
     """Links between sites and membership.
 
     Links: ``a, b, similarity`` of different sites whose word sets share at
     least ``threshold`` of all their words and whose lines differ by at most
-    ``span``. Members: ``id, site``. Null title and description count as empty;
-    a finding without words, or without a line, has no link.
+    ``span``. Members: ``id, site, usable``. Null title and description count as
+    empty; a finding without words, or without a line, is not usable and has no link.
     """
     members = materialize(_members(findings), "members")
-    sites = materialize(
-        members.filter(F.col("line").isNotNull() & (F.size("ws") > 0)).groupBy("site").agg(F.first("line").alias("line"), F.first("ws").alias("ws")), "sites"
-    )
-    pairs = materialize(_candidates(sites, threshold, span, branches, depth, recall), "pairs")
+    firsts = [F.first(c).alias(c) for c in ("line", "ws", "sig", *B)]
+    sites = materialize(members.filter("usable").groupBy("site").agg(*firsts), "sites")
+    pairs = _candidates(sites, threshold, span, branches, depth, recall)
     words_of = lambda side: sites.select(F.col("site").alias(side), F.col("ws").alias(f"ws_{side}"))
     shared = F.size(F.array_intersect("ws_a", "ws_b"))
     similarity = shared / (F.size("ws_a") + F.size("ws_b") - shared)
     checked = pairs.join(words_of("a"), "a").join(words_of("b"), "b").select("a", "b", similarity.alias("similarity"))
-    usable = members.filter(F.col("line").isNotNull() & (F.size("ws") > 0))
-    return checked.filter(F.col("similarity") >= threshold), members.select("id", "site", F.col("line").isNotNull().alias("has_line")).join(usable.select("id").withColumn("usable", F.lit(True)), "id", "left")
+    checked = materialize(checked.filter(F.col("similarity") >= threshold), "links")
+    release(pairs, sites)
+    return checked, members.select("id", "site", "usable")
 
 
-def found(findings: DataFrame, threshold: float = 0.6, span: int = 10, expand: int = 200, all_across: bool = False) -> DataFrame:
+def found(findings: DataFrame, threshold: float = 0.6, span: int = 10) -> DataFrame:
     """``id_a, id_b`` of all linked findings, smaller id first.
 
-    Copies (equal words and line) are linked with one another. A site of more
-    than ``expand`` copies is not written out in all pairs: each of its copies
-    is linked with the site's smallest id, and that one with other sites, or
-    with ``all_across`` every copy with other sites; ``groups`` has the membership.
+    Copies (equal words and line) are linked with one another and each with
+    all that any of them is linked with, however many there are, so the result
+    is quadratic in copies; ``groups`` says the same in one row per finding.
     """
     between, members = links(findings, threshold, span)
-    members = materialize(members.filter("usable").select("id", "site"), "member")
-    sizes = members.groupBy("site").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    sized = members.join(sizes, "site")
-    speaking = materialize(sized.filter((F.col("n") <= expand) | (F.col("id") == F.col("first")) | F.lit(all_across)).select("site", "id"), "speaking")
+    members = members.filter("usable").select("site", "id")
     across = (
         between.select("a", "b")
-        .join(speaking.select(F.col("site").alias("a"), F.col("id").alias("x")), "a")
-        .join(speaking.select(F.col("site").alias("b"), F.col("id").alias("y")), "b")
+        .join(members.select(F.col("site").alias("a"), F.col("id").alias("x")), "a")
+        .join(members.select(F.col("site").alias("b"), F.col("id").alias("y")), "b")
+        .select("x", "y")
+    )
+    left, right = _cells(members, "site", "id")
+    within = (
+        left.withColumnRenamed("id", "x")
+        .join(right.withColumnRenamed("id", "y"), ["site", "i", "j"])
+        .filter("i < j OR x < y")
         .select("x", "y")
     )
-    few = sized.filter((F.col("n") > 1) & (F.col("n") <= expand)).select("site", "id")
-    within = few.join(few.select("site", F.col("id").alias("y")), "site").filter("id < y").select(F.col("id").alias("x"), "y")
-    star = sized.filter((F.col("n") > expand) & (F.col("id") != F.col("first"))).select(F.col("first").alias("x"), F.col("id").alias("y"))
-    every = across.unionByName(within).unionByName(star)
+    every = across.unionByName(within)
     return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
@@ -172,8 +260,7 @@ def groups(findings: DataFrame, threshold: float = 0.6, span: int = 10) -> DataF
     ``group`` is the smallest site connected with the finding's site by links.
     """
     between, members = links(findings, threshold, span)
-    between = materialize(between.select("a", "b"), "links")
-    of = components(between)
+    of = components(between.select("a", "b"))
     ends = between.select(F.col("a").alias("node")).unionByName(between.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     return (
         members.join(of, F.col("site") == F.col("node"), "left")

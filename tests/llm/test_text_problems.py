@@ -90,10 +90,8 @@ def test_near_duplicates_by_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
 
 
-def test_many_copies_are_linked_to_one(spark):
+def test_copies_are_one_group(spark):
     rows = [(f"c{k:03d}", "same words here", "and there", 7, "x") for k in range(30)] + [("d", "same words here", "and there too", 9, "x")]
-    got = {(r["id_a"], r["id_b"]) for r in near_duplicates.found(spark.createDataFrame(rows, FINDING), expand=10).collect()}
-    assert got == {("c000", f"c{k:03d}") for k in range(1, 30)} | {("c000", "d")}
     groups = near_duplicates.groups(spark.createDataFrame(rows, FINDING)).collect()
     assert len(groups) == 31 and len({r["group"] for r in groups}) == 1
     assert near_duplicates.found(spark.createDataFrame([], FINDING)).count() == 0
