@@ -3,24 +3,34 @@
 Sainte-Laguë apportionment: the mixture consists of blocks of equal size in
 tokens, given one after the other to the source with the highest quotient
 share / (2 * blocks + 1) whose texts are not used up. That gives whole numbers
-of blocks per source, then per shard of a source; within a shard the texts are
-taken in seeded order.
+of blocks per source; the blocks of a source are apportioned to its shards in
+the same way. A shard's texts lie in seeded order, cut into blocks, and its
+quota takes whole rounds of all blocks, then the first blocks of that order; a
+text belongs to the block in which its middle lies.
 """
 
 from __future__ import annotations
 
+import base64
 import heapq
+import os
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Ranks of a byte-level BPE vocabulary; the same path on every node, or the name of a file given to ``SparkContext.addFile``.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How such a vocabulary splits a text before merging (fixed value).
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A table of targets is small by nature; a larger one is refused.
 MOST_SOURCES = 100_000
+#: Shards that are apportioned together; more form groups, which are apportioned first.
+FAN_OUT = 1_000
 
 
 def source_name(source: Column) -> Column:
@@ -30,19 +40,15 @@ def source_name(source: Column) -> Column:
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        import tiktoken
+        from pyspark import SparkFiles
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        tokenizer = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            counts: list[int] = []
-            for at in range(0, len(texts), 256):
-                counts += [len(e.ids) for e in tokenizer.encode_batch(texts[at : at + 256], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], batch["digest"], pa.array(counts, pa.int64())], ["doc_id", "source", "digest", "tokens"])
+            counts = [len(tokenizer.encode_ordinary(t)) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["source"], batch["doc_id"], pa.array(counts, pa.int64())], ["source", "doc_id", "tokens"])
 
     return run
 
@@ -50,11 +56,12 @@ def _counter(path: str):
 def texts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``source, doc_id, tokens`` of the distinct texts of each source; copies count as their smallest doc_id.
 
-    Null sources and texts without a token are left out.
+    Null sources and texts without a token are left out. Only one copy of a
+    text is tokenized.
     """
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter("source IS NOT NULL AND source != '' AND text IS NOT NULL AND text != ''")
-    counted = rows.withColumn("digest", F.sha2("text", 256)).mapInArrow(_counter(tokenizer), "doc_id bigint, source string, digest string, tokens bigint")
-    return counted.groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens")).filter("tokens > 0").drop("digest")
+    distinct = rows.groupBy("source", F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    return distinct.select("source", "doc_id", "text").mapInArrow(_counter(tokenizer), "source string, doc_id bigint, tokens bigint").filter("tokens > 0")
 
 
 def apportion(shares: dict[str, float], caps: dict[str, int], blocks: int) -> dict[str, int]:
@@ -91,6 +98,34 @@ def apportion(shares: dict[str, float], caps: dict[str, int], blocks: int) -> di
     return given
 
 
+def apportion_shards(sizes: DataFrame, quotas: DataFrame, block_tokens: int, n_shards: int) -> DataFrame:
+    """``source, shard, shard_tokens, blocks``: each source's blocks over its shards, by Sainte-Laguë on their tokens.
+
+    ``sizes`` has ``source, shard, shard_tokens``, ``quotas`` has ``source,
+    blocks, repeats``. Groups of at most ``FAN_OUT`` neighbouring shards get
+    their blocks first, so no task apportions more than that many.
+    """
+    levels, width = [sizes.select("source", "shard", "shard_tokens")], n_shards
+    while width > FAN_OUT:
+        width = -(-width // FAN_OUT)
+        below = levels[-1].withColumn("shard", F.floor(F.col("shard") / FAN_OUT))
+        levels.append(below.groupBy("source", "shard").agg(F.sum("shard_tokens").alias("shard_tokens")))
+
+    def share(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shard")
+        keys = [f"{k:020d}" for k in rows["shard"]]
+        caps = {k: -(-int(t) * int(r) // block_tokens) for k, t, r in zip(keys, rows["shard_tokens"], rows["repeats"])}
+        given = apportion({k: float(t) for k, t in zip(keys, rows["shard_tokens"])}, caps, int(rows["blocks"].iloc[0]))
+        return pd.DataFrame({"source": rows["source"], "shard": rows["shard"], "shard_tokens": rows["shard_tokens"], "blocks": [given[k] for k in keys], "repeats": rows["repeats"]})
+
+    given = quotas.withColumn("parent", F.lit(0).cast("long"))
+    for level in reversed(levels):
+        part = level.withColumn("parent", F.floor(F.col("shard") / FAN_OUT)).join(given, ["source", "parent"])
+        shared = part.groupBy("source", "parent").applyInPandas(share, "source string, shard bigint, shard_tokens bigint, blocks bigint, repeats bigint")
+        given = shared.select("source", F.col("shard").alias("parent"), "blocks", "repeats")
+    return shared.drop("repeats")
+
+
 def select(
     documents: DataFrame,
     targets: DataFrame,
@@ -127,24 +162,19 @@ def select(
     have = {r["source"]: r for r in pool.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}  # at most one row per target
     available = {s: have[s]["tokens"] if s in have else 0 for s in wanted}
     total = total_tokens if total_tokens is not None else sum(available.values())
-    caps = {s: available[s] * max(0, wanted[s]["max_repeats"]) // block_tokens for s in wanted}
+    # The last block of a source may be short, so a source smaller than a block has one as well.
+    caps = {s: -(-available[s] * max(0, wanted[s]["max_repeats"]) // block_tokens) for s in wanted}
     quota = apportion({s: float(wanted[s]["target_share"]) for s in wanted}, caps, round(total / block_tokens))
 
     n_shards = max(1, -(-sum(available.values()) // shard_tokens))
-    quotas = spark.createDataFrame([(s, q, available[s]) for s, q in quota.items()], "source string, blocks bigint, all_tokens bigint")
     sharded = pool.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_shards)))
-    running = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    shards = (
-        sharded.groupBy("source", "shard")
-        .agg(F.sum("tokens").alias("shard_tokens"))
-        .withColumn("upto", F.sum("shard_tokens").over(running))
-        .join(F.broadcast(quotas), "source")
-        .withColumn("goal", (F.floor(F.col("blocks") * F.col("upto") / F.col("all_tokens") + 1e-9) - F.floor(F.col("blocks") * (F.col("upto") - F.col("shard_tokens")) / F.col("all_tokens") + 1e-9)) * block_tokens)
-        .select("source", "shard", "shard_tokens", "goal")
-    )
+    sizes = sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("shard_tokens"))
+    quotas = spark.createDataFrame([(s, q, max(0, wanted[s]["max_repeats"])) for s, q in quota.items()], "source string, blocks bigint, repeats bigint")
+    shards = apportion_shards(sizes, quotas, block_tokens, n_shards)
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    passes = F.floor(F.col("goal") / F.col("shard_tokens"))
-    rest = F.col("goal") - passes * F.col("shard_tokens")
+    goal = F.col("blocks") * block_tokens
+    passes = F.floor(goal / F.col("shard_tokens"))
+    rest = goal - passes * F.col("shard_tokens")
     mixture = (
         sharded.withColumn("upto", F.sum("tokens").over(order))
         .join(shards, ["source", "shard"])
