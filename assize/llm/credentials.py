@@ -14,7 +14,10 @@ One pass over the texts, no shuffle.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,8 +52,8 @@ ISSUED = (
 )
 _ISSUED = re.compile("|".join(f"(?P<{n}>{p})" for n, p in ISSUED))
 
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----(?P<body>.*?)(?:-----END|\Z)", re.S)
-_URL = re.compile(r"(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]{1,30}://(?P<user>[^\s:/@\"'`<>]{0,200}):(?P<value>[^\s/@\"'`<>]{1,400})@[A-Za-z0-9\[]")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_URL = re.compile(r"(?<=[A-Za-z0-9+.\-])://(?P<user>[^\s:/@\"'`<>]*):(?P<value>[^\s/@\"'`<>]+)@[A-Za-z0-9\[]")
 _HEADER = re.compile(r"(?i:\b(?:authorization\s*[:=]\s*[\"']?\s*)?(?:basic|bearer))\s+(?P<value>[A-Za-z0-9+/._~\-]{16,}={0,2})")
 _CONNECTION = re.compile(r"(?i:\b(?:password|pwd))\s*=\s*(?P<value>[^;\"'`\s]+)\s*;|;\s*(?i:password|pwd)\s*=\s*(?P<last>[^;\"'`\s]+)")
 _QUERY = re.compile(r"[?&](?i:access_token|auth_token|token|api_?key|secret|password|client_secret)=(?P<value>[A-Za-z0-9._~%+/\-]{8,})")
@@ -65,13 +68,13 @@ _NOT_NAME = re.compile(r"(?i)(?:^|[_\-])(?:max|min|num|n|total|used|per|input|ou
 _STRING = r"(?:[rbuf]{0,2})(?:\"\"\"(?P<a>.*?)\"\"\"|\"(?P<b>(?:[^\"\\\n]|\\.)*)\"|'(?P<c>(?:[^'\\\n]|\\.)*)'|`(?P<d>[^`]*)`)"
 #: What stands between a name and the literal given to it: closing quotes and brackets, a type, an operator, a conversion.
 _GIVEN = re.compile(
-    r"[\"'`\]]{0,2}(?:[ \t]*|\s{0,3})(?::\s{0,2}&?(?:'static\s)?[A-Za-z_][\w<>&]{0,40}(?:[ \t]*|\s{0,2})(?==))?(?::=|=>|=|:|,)\s{0,40}(?:[A-Za-z_][\w:]{0,30}\()?" + _STRING, re.S
+    r"[\"'`\]]{0,2}(?:[ \t]*|\s{0,3})(?::\s{0,2}&?(?:'static\s)?[A-Za-z_][\w<>&]*+(?:[ \t]*|\s{0,2})(?==))?(?::=|=>|=|:|,)\s*+(?:[A-Za-z_][\w:]*+\()?" + _STRING, re.S
 )
-_TICKED = re.compile(r"`\s+`(?P<d>[^`\n]+)`")
+_TICKED = re.compile(r"`\s+(?:`(?P<d>[^`\n]+)`|\"(?P<b>[^\"\n]+)\"|'(?P<c>[^'\n]+)')")
 _ATTRIBUTE = re.compile(r"\"\s+value\s*=\s*\"(?P<b>[^\"\n]+)\"")
 _MORE = re.compile(r"\s*(?:\+|\.\.|\\\n)?\s*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)')")
-_BARE = re.compile(r"(?:[ \t]*|\s{0,2})(?P<op>=|:)[ \t]{0,8}(?P<value>[^\s\"'`,;(){}\[\]<>][^\s\"'`,;()<>]*)(?P<rest>[^\n]*)")
-_LOGIN = re.compile(rf"(?i:\b(?:{'|'.join(_LOGIN_WORDS)})\s{{0,3}}(?:is|are|:|=)?\s{{0,3}})(?P<user>[A-Za-z0-9_.@\-]+)\s{{0,3}}/\s{{0,3}}(?P<value>[^\s\"'`/,;]{{6,}})")
+_BARE = re.compile(r"(?:[ \t]*|\s{0,2})(?P<op>=|:)[ \t]*+(?P<value>[^\s\"'`,;(){}\[\]<>][^\s\"'`,;()<>]*)(?P<rest>[^\n]*)")
+_LOGIN = re.compile(rf"(?i:\b(?:{'|'.join(_LOGIN_WORDS)})\s*+(?:(?:is|are|:|=)\s*+)?)(?P<user>[A-Za-z0-9_.@\-]++)\s*+/\s*+(?P<value>[^\s\"'`/,;]{{6,}})")
 
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:|x+|\*+|\.+|-+|_+|0+|#+|todo|tbd|fixme|none|null|nil|undefined|true|false|change[_\-]?me|changeit|redacted|removed|masked|hidden|example|sample|dummy|placeholder|secret|password|token|test|admin|root|user|n/?a)$"
@@ -104,18 +107,52 @@ def _issued(kind: str, value: str) -> bool:
 
 
 def _sensitive(key: str) -> bool:
-    name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", key.rsplit(".", 1)[-1])[-80:]
+    name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", key.rsplit(".", 1)[-1])
     return bool(_NAME.search(name)) and not _NOT_NAME.search(name)
 
 
-def _pem_body(body: str, closed: bool = True) -> bool:
-    """Whether a key block has key material; far into a block without end only whole lines of it count."""
-    text = re.sub(r"\\n|\\r|[\s\"'+\\|`#/*]", "\n", body if closed else body[:2000])
-    if any(re.fullmatch(r"[A-Za-z0-9+/=]{24,}", x) and len(set(x)) > 8 for x in text.split("\n")):
-        return True
-    return not closed and any(
-        re.fullmatch(r"[A-Za-z0-9+/]{40,}={0,2}", x := line.strip(" \t\r\"'+,;|#*\\")) and all(re.search(c, x) for c in ("[a-z]", "[A-Z]", "[0-9]")) for line in body[2000:].split("\n")
-    )
+#: What may stand around the lines of a key block in code: quotes, joins, comment signs.
+_AROUND = " \t\r\"'`+,;|#*\\"
+_SEGMENT = re.compile(r"\\r|\\n|\r|\n")
+_TOKEN = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_KEY_HEADER = re.compile(r"[A-Z][A-Za-z0-9\-]*: ")
+
+
+def _key_block(text: str, begin: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """End of the key block whose first line ends at ``begin``, and the places of its key material; None if it has none.
+
+    A block runs to its END line. Without one it ends at its last line of key
+    material: whatever is neither that, nor a header, nor blank, is other code.
+    """
+    limit = text.find("-----", begin)
+    limit = len(text) if limit < 0 else limit
+    closed = text.startswith("-----END", limit)
+    places: list[tuple[int, int]] = []
+    material, width, at = False, 0, begin
+    while at < limit:
+        m = _SEGMENT.search(text, at, limit)
+        stop = m.start() if m else limit
+        core = text[at:stop].strip(_AROUND)
+        tokens = core.split()
+        if tokens and all(_TOKEN.fullmatch(t) for t in tokens):
+            longest = max(map(len, tokens))
+            last = longest < 16
+            # A short line can only be the last one of the material, and no plain word.
+            if not last or (width and not core.islower() and not core.isalpha()) or core.endswith("="):
+                start = text.index(core, at, stop)
+                places.append((start, start + len(core)))
+                material |= any(len(t) >= 24 and len(set(t)) > 8 for t in tokens)
+                width = 0 if last else longest
+            elif not closed:
+                break
+            if last and not closed:
+                break
+        elif core and not closed and not _KEY_HEADER.match(core):
+            break
+        else:
+            width = 0
+        at = m.end() if m else limit
+    return (limit if closed else places[-1][1], places) if material else None
 
 
 def _names(text: str) -> Iterator[tuple[int, int]]:
@@ -126,9 +163,9 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
         if m.start() < done:
             continue
         s, e = m.start(), m.end()
-        while s > 0 and part(text[s - 1]) and m.start() - s < 80:
+        while s > done and part(text[s - 1]):
             s -= 1
-        while e < len(text) and part(text[e]) and e - m.end() < 80:
+        while e < len(text) and part(text[e]):
             e += 1
         done = e
         if _sensitive(text[s:e].strip("-.")):
@@ -169,8 +206,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         found.append((start, end, kind))
 
     for m in _PEM.finditer(text):
-        if _pem_body(m["body"], text.startswith("-----END", m.end("body"))):
-            add(m.start(), m.end("body"), "private_key")
+        if block := _key_block(text, m.end()):
+            add(m.start(), block[0], "private_key")
     for m in _ISSUED.finditer(text):
         if _issued(m.lastgroup, m.group()):
             add(m.start(), m.end(), m.lastgroup)
@@ -200,21 +237,62 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _masked(value: str) -> str:
+    """As many characters of the same alphabet: hexadecimal stays so, and so do capitals with the digits 2 to 7."""
+
+    def run(m: re.Match) -> str:
+        word = m.group()
+        if word[0] == "\\":
+            return word
+        if len(word) >= 8 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", word):
+            return re.sub("[A-F]", "A", re.sub("[a-f]", "a", re.sub("[0-9]", "0", word)))
+        digit = "2" if len(word) >= 8 and re.fullmatch("[A-Z2-7]+", word) else "0"
+        return re.sub("[0-9]", digit, re.sub("[A-Z]", "X", re.sub("[a-z]", "x", word)))
+
+    return re.sub(r"\\.|[A-Za-z0-9]+", run, value)
+
+
 def redact(text: str) -> str:
-    """The text with every credential replaced character by character: letters by x or X, digits by 0.
+    """The text with every credential replaced by as many characters of its alphabet.
 
-    Escapes, quotes, joins, line ends and the first line of a key block stay as they are.
+    Escapes, quotes, joins, line ends and all of a key block but its material stay as they are.
     """
     parts, at = [], 0
     for s, e, kind in spans(text):
+        places = [(s, e)]
         if kind == "private_key":
-            s = text.index("-----", s + 5) + 5
-        masked = re.sub(r"\\.|[a-z]|[A-Z]|[0-9]", lambda m: m.group() if m.group()[0] == "\\" else "0" if m.group().isdigit() else "X" if m.group().isupper() else "x", text[s:e])
-        parts += [text[at:s], masked]
-        at = e
+            _, places = _key_block(text, text.index("-----", s + 5) + 5)
+        for a, b in places:
+            parts += [text[at:a], _masked(text[a:b])]
+            at = b
     return "".join([*parts, text[at:]])
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum(kind: str, value: str) -> bool | None:
+    """Whether an issued token's own check holds; None for kinds without a public one.
+
+    Tokens of the kinds github and npm end in six base-62 digits of the CRC-32 of
+    the 30 characters before; a jwt begins with a JSON object that names its algorithm.
+    """
+    if kind in ("github", "npm"):
+        body = value.split("_", 1)[1]
+        crc, digits = zlib.crc32(body[:-6].encode()), ""
+        for _ in range(6):
+            crc, d = divmod(crc, 62)
+            digits = _BASE62[d] + digits
+        return body[-6:] == digits
+    if kind == "jwt":
+        head = value.split(".", 1)[0]
+        try:
+            return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        except ValueError:
+            return False
+    return None
+
+
 def _automaton():
     import ahocorasick
 
@@ -238,14 +316,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s, e, kind in spans(text):
                     line += text.count("\n", at, s)
                     at = s
-                    hits.append({"line_no": 0 if is_name else line, "kind": kind, "start": s, "length": e - s})
+                    hits.append({"line_no": 0 if is_name else line, "kind": kind, "start": s, "length": e - s, "checksum": checksum(kind, text[s:e])})
                 if hits and is_name:
                     name = redact(text)
                 elif any(h["line_no"] for h in hits):
                     content = redact(text)
             for k, v in (("id", id_), ("hits", hits), ("content", content), ("qualified_name", name)):
                 rows[k].append(v)
-        hit = pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
+        hit = pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("checksum", pa.bool_())])
         types = {"id": pa.string(), "hits": pa.list_(hit), "content": pa.string(), "qualified_name": pa.string()}
         yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in rows.items()], list(rows))
 
@@ -254,12 +332,13 @@ def scan(chunks: DataFrame) -> DataFrame:
     """One row per chunk: ``id, hits, content, qualified_name``, the texts redacted.
 
     ``hits`` has, per credential, ``line_no`` (0 in qualified_name, else the
-    line on which it begins), ``kind``, ``start`` and ``length`` in characters.
+    line on which it begins), ``kind``, ``start`` and ``length`` in characters,
+    and ``checksum``: whether the token's own check holds, null where its kind has none.
     Null texts stay null and have no hits; a redacted text is as long as the
     original and has the same line ends. Repeated rows are scanned each.
     """
     return chunks.select("id", "content", "qualified_name").mapInArrow(
-        _scan, "id string, hits array<struct<line_no:int,kind:string,start:int,length:int>>, content string, qualified_name string"
+        _scan, "id string, hits array<struct<line_no:int,kind:string,start:int,length:int,checksum:boolean>>, content string, qualified_name string"
     )
 
 
