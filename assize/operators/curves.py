@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
+from .running import running_totals
 
 
 def pr_curve(samples: DataFrame) -> DataFrame:
@@ -16,11 +17,9 @@ def pr_curve(samples: DataFrame) -> DataFrame:
     """
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != F.lit(float("inf")))
     points = samples.filter(finite).groupBy(F.round("score", 12).alias("threshold")).agg(F.count_if("positive").alias("tp"), F.count_if(~F.col("positive")).alias("fp"))
-    falling = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    total = points.agg(F.sum("tp").alias("all_tp"))
     return (
-        points.withColumns({"n_tp": F.sum("tp").over(falling), "n_fp": F.sum("fp").over(falling)})
-        .crossJoin(F.broadcast(total))  # one row
+        running_totals(materialize(points, "points"), "threshold", ("tp", "fp"), falling=True)
+        .withColumnsRenamed({"upto_tp": "n_tp", "upto_fp": "n_fp"})
         .filter("all_tp > 0")
         .select("threshold", F.round(F.col("n_tp") / (F.col("n_tp") + F.col("n_fp")), 6).alias("precision"), F.round(F.col("n_tp") / F.col("all_tp"), 6).alias("recall"), "n_tp", "n_fp")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import precision, price, ratio, wilson
 from ..functions.records import VERDICTS, annotator, effective_micros, provenance_kind, usable_finding_id, verdict
+from .running import running_totals
 
 LEVELS = ("critical", "high", "medium", "low", "info")
 TIERS = ("human", "post_fix", "external", "auto_calibrate", "unknown")
@@ -23,7 +24,7 @@ def typed(feedback: DataFrame) -> DataFrame:
     return feedback.withColumns({
         "v": verdict(F.col("verdict")),
         "tier": provenance_kind(F.col("provenance")),
-        "agent": F.when(provenance_kind(F.col("provenance")) == "external", F.substring(who, 10, 1 << 20)),
+        "agent": F.when(provenance_kind(F.col("provenance")) == "external", F.substr(who, F.lit(10))),
         "fid": usable_finding_id(F.col("finding_id")),
         "us": effective_micros(F.col("ts"), F.col("received_at")),
     })
@@ -46,9 +47,11 @@ def verdicts_by_model(feedback: DataFrame) -> DataFrame:
 def tier_rollup(feedback: DataFrame) -> DataFrame:
     """Counts per provenance tier and, for external rows, per agent: ``level`` is tier or agent."""
     rows = typed(feedback)
-    by_tier = rows.groupBy("tier").agg(F.count("*").alias("n_rows"), *verdict_counts()).withColumn("agent", F.lit(""))
-    by_agent = rows.filter("tier = 'external'").groupBy("tier", F.coalesce("agent", F.lit("(none)")).alias("agent")).agg(F.count("*").alias("n_rows"), *verdict_counts())
-    return _with_precision(by_tier.withColumn("level", F.lit("tier")).unionByName(by_agent.withColumn("level", F.lit("agent"))))
+    fine = rows.groupBy("tier", F.coalesce("agent", F.lit("(none)")).alias("agent")).agg(F.count("*").alias("n_rows"), *verdict_counts())
+    counts = [f"n_{v}" for v in VERDICTS]
+    sets = fine.groupingSets([["tier"], ["tier", "agent"]], "tier", "agent").agg(F.grouping("agent").alias("whole"), *[F.sum(c).alias(c) for c in ("n_rows", *counts)])
+    both = sets.filter("whole = 1 OR tier = 'external'").withColumns({"level": F.when(F.col("whole") == 1, "tier").otherwise("agent"), "agent": F.coalesce("agent", F.lit(""))})
+    return _with_precision(both.select("level", "tier", "agent", "n_rows", *counts))
 
 
 def fp_kind_utilization(feedback: DataFrame) -> DataFrame:
@@ -178,14 +181,23 @@ def grounding_counts(findings: DataFrame) -> DataFrame:
 def score_distribution(findings: DataFrame) -> DataFrame:
     """Nearest-rank p10 and p90 and the median of confidence per source kind; NaN and null left out."""
     rows = findings.filter(F.col("confidence").isNotNull() & ~F.isnan("confidence")).select("source_kind", F.col("confidence").cast("double").alias("x"))
-    return rows.groupBy("source_kind").agg(
-        F.count("*").alias("n"),
-        F.round(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY x)"), 6).alias("p10"),
-        F.round(F.percentile("x", F.lit(0.5)), 6).alias("median"),
-        F.round(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY x)"), 6).alias("p90"),
+    placed = running_totals(rows.groupBy("source_kind", "x").agg(F.count("*").alias("n")), "x", ("n",), by=("source_kind",))
+    at = lambda rank: F.min(F.when(F.col("upto_n") >= rank, F.col("x")))  # noqa: E731  # the value with that rank
+    middle = (F.col("all_n") + 1) / 2
+    return placed.groupBy("source_kind").agg(
+        F.first("all_n").alias("n"),
+        F.round(at(F.ceil(F.col("all_n") / 10)), 6).alias("p10"),
+        F.round((at(F.floor(middle)) + at(F.ceil(middle))) / 2, 6).alias("median"),
+        F.round(at(F.ceil(F.col("all_n") * 9 / 10)), 6).alias("p90"),
     )
 
 
+def by_count(rows: DataFrame, key: str) -> DataFrame:
+    """``key, n, place``: the groups by falling count, then rising key; null comes last. Only groups are ordered."""
+    groups = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return groups.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last(key))))
+
+
 def exit_codes(findings: DataFrame) -> DataFrame:
     """Exit code per run: 2 with a finding of high or critical, 1 with a medium one, else 0."""
     top = F.max(F.when(F.col("severity").isin("high", "critical"), 2).when(F.col("severity") == "medium", 1).otherwise(0))

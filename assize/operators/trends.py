@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import DAY_US, micros, precision, ratio, trend_arrow
@@ -60,11 +60,48 @@ def rolling_windows(reviews: DataFrame, n: int = 50) -> DataFrame:
     ).select(F.col("w").cast("long").alias("window_no"), label.alias("label"), "n_reviews", "n_findings", "findings_per_file", "from_us", "to_us")
 
 
+def _ranked(reviews: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """``columns`` with ``i``, the rank from 1 of each review of its group in time, and the group's ``total``.
+
+    Ranks come from sorted partitions of one day of one group and a running
+    count over its days, so no task sorts a group.
+    """
+    rows = reviews.select(key, F.floor(micros(F.col("reviewed_at")) / DAY_US).alias("__day"), "reviewed_at", "run_id", "received_at", *columns)
+    days = rows.groupBy(key, "__day").agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col(key).alias("__key"), F.col("__day").alias("__on"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(key)).alias("total"))
+    of_day = Window.partitionBy(key, "__day").orderBy("reviewed_at", "run_id", "received_at")
+    same = rows[key].eqNullSafe(days["__key"]) & rows["__day"].eqNullSafe(days["__on"])
+    placed = rows.withColumn("__rank", F.row_number().over(of_day)).join(days, same)
+    return placed.withColumn("i", F.col("__before") + F.col("__rank")).drop("__day", "__rank", "__key", "__on", "__before")
+
+
+def last_n(reviews: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` reviews by (reviewed_at, run_id, received_at); all if there are no more."""
+    return reviews.orderBy(F.desc("reviewed_at"), F.desc("run_id"), F.desc("received_at")).limit(n)
+
+
+def context_sparklines(records: DataFrame, key: str, value: str, buckets: int = 5) -> DataFrame:
+    """Mean of ``value`` in ``buckets`` buckets of each group's records in time: ``key, bucket, n_reviews, value``.
+
+    Bucket b holds the records from b * total / buckets, at least one where there is any left.
+    """
+    rows = _ranked(records, key, F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("x"))
+    ranges = F.transform(
+        F.sequence(F.lit(0), F.lit(buckets - 1)),
+        lambda b: F.struct(
+            b.alias("bucket"),
+            F.floor(b * F.col("total") / buckets).alias("first"),
+            F.least(F.col("total"), F.greatest(F.floor((b + 1) * F.col("total") / buckets), F.floor(b * F.col("total") / buckets) + 1)).alias("end"),
+        ),
+    )
+    inside = F.filter(ranges, lambda r: (F.col("i") > r["first"]) & (F.col("i") <= r["end"]))
+    return rows.select(key, "x", F.explode(inside).alias("r")).groupBy(key, F.col("r.bucket").alias("bucket")).agg(F.count("*").alias("n_reviews"), F.round(F.avg("x"), 6).alias("value"))
+
+
 def sparklines(reviews: DataFrame, key: str = "repo", buckets: int = 5, least: int = 5) -> DataFrame:
     """Findings per file in ``buckets`` proportional buckets of each group's reviews, in order; groups under ``least`` have none."""
-    w = Window.partitionBy(key).orderBy("reviewed_at", "run_id", "received_at")
-    whole = Window.partitionBy(key)
-    rows = reviews.select(key, n_findings().alias("found"), F.col("files_reviewed").cast("long").alias("files"), F.row_number().over(w).alias("i"), F.count("*").over(whole).alias("total"))
+    rows = _ranked(reviews, key, n_findings().alias("found"), F.col("files_reviewed").cast("long").alias("files"))
     bucket = F.floor((F.lit(buckets) * F.col("i") - 1) / F.col("total"))
     return (
         rows.filter(F.col("total") >= least)
