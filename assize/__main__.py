@@ -14,7 +14,11 @@ def main(argv: list[str]) -> int:
         print(__doc__, "\nQueries:", *sorted(registry.queries()), file=sys.stderr)
         return 2
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    df = registry.queries()[argv[0]](spark, argv[1]).limit(render.MOST_ROWS)
+    whole = registry.queries()[argv[0]](spark, argv[1])
+    df = whole.limit(render.MOST_ROWS)
+    n = whole.count()
+    if n > render.MOST_ROWS:
+        print(f"The first {render.MOST_ROWS} of {n} rows:", file=sys.stderr)
     print({"table": render.table, "compact": render.compact, "json": render.as_json}[argv[2] if len(argv) > 2 else "table"](df))
     return 0
 

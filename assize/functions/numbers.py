@@ -97,16 +97,32 @@ def duration_text(ms: Column) -> Column:
     return F.when(ms < 4000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.1fs", ms / 1000.0))
 
 
+def percent_text(share: Column) -> Column:
+    """A share as whole per cent; ``n/a`` if it isn't finite."""
+    return F.when(_finite(share), F.concat(F.round(share * 100).cast("bigint").cast("string"), F.lit("%"))).otherwise("n/a")
+
+
+def cost_text(dollars: Column) -> Column:
+    """Dollars with two places, with four under a cent."""
+    return F.when((dollars > 0) & (dollars < 0.01), F.format_string("$%.4f", dollars)).otherwise(F.format_string("$%.2f", dollars))
+
+
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+
+
 def trend_arrow(values: Column) -> Column:
-    """up, down or flat: first against last value, with a band of 5 %; null for fewer than two."""
+    """up, down or flat: first against last value, with a band of 5 %; flat for fewer than two and for ends that aren't finite."""
     first, last = F.element_at(values, 1), F.element_at(values, -1)
     change = (last - first) / F.greatest(F.abs(first), F.lit(1e-9))
-    return F.when(F.size(values) >= 2, F.when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat"))
+    known = (F.size(values) >= 2) & _finite(first) & _finite(last)
+    return F.when(known & (change > 0.05), "up").when(known & (change < -0.05), "down").otherwise("flat")
 
 
-def sparkline(values: Column) -> Column:
-    """Eight-level glyphs of a series; a flat one is all lowest."""
-    glyphs = F.array(*[F.lit(c) for c in "▁▂▃▄▅▆▇█"])
-    low, high = F.array_min(values), F.array_max(values)
-    level = lambda v: F.when(high > low, F.least(F.lit(7), F.floor((v - low) / (high - low) * 7.999)).cast("int")).otherwise(0)
-    return F.array_join(F.transform(values, lambda v: F.element_at(glyphs, level(v) + 1)), "")
+def sparkline(values: Column, levels: str = "▁▂▃▄▅▆▇█") -> Column:
+    """A glyph per value, eight levels or those of ``levels`` (``_.-=^`` in ASCII); a flat series and values that aren't finite are lowest."""
+    glyphs = F.array(*[F.lit(c) for c in levels])
+    finite = F.filter(F.transform(values, lambda v: v.cast("double")), _finite)
+    low, high = F.array_min(finite), F.array_max(finite)
+    level = lambda v: F.when(_finite(v) & (high > low), F.round((v - low) / (high - low) * (len(levels) - 1)).cast("int")).otherwise(0)
+    return F.array_join(F.transform(values, lambda v: F.element_at(glyphs, level(v.cast("double")) + 1)), "")

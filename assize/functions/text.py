@@ -149,13 +149,31 @@ def severity_name(rank: Column) -> Column:
     return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank.cast("int"))
 
 
-def backtick_identifiers(title: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Distinct identifiers between back ticks of at least four bytes, without ``()``."""
-    found = F.transform(F.regexp_extract_all(title, F.lit("`([^`]+)`"), F.lit(1)), lambda t: F.regexp_replace(t, r"\(\)$", ""))
+#: Words of languages that name nothing in particular (fixed values).
+STOP_IDENTIFIERS = (
+    "self", "Self", "super", "crate", "true", "false", "None", "Some", "unwrap", "expect", "clone", "iter", "into", "from",
+    "default", "push", "is_empty", "map", "filter", "collect", "Result", "Option", "String", "Vec", "Box", "Arc", "Mutex",
+    "True", "False", "print", "list", "dict", "str", "int", "float", "bool", "type", "init",
+    "this", "null", "undefined", "console", "log", "length", "toString", "Promise",
+)
+
+
+def backtick_identifiers(title: Column, stop: tuple[str, ...] = STOP_IDENTIFIERS) -> Column:
+    """Distinct identifiers between back ticks of at least four bytes, without blanks around and ``()``; no stop words."""
+    found = F.transform(F.regexp_extract_all(title, F.lit("`([^`]+)`"), F.lit(1)), lambda t: F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), r"\(\)$", ""))
     kept = F.filter(found, lambda t: F.octet_length(t) >= 4)
     return F.array_distinct(F.array_except(kept, F.array(*[F.lit(s) for s in stop]).cast("array<string>")))
 
 
+def contains_symbol(text: Column, name: Column) -> Column:
+    """Whether a name occurs with no word character beside those of its ends that are word characters."""
+    word = r"[\p{L}\p{N}_]"
+    quoted = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    before = F.when(name.rlike(f"^{word}"), f"(?<!{word})").otherwise("")
+    after = F.when(name.rlike(f"{word}\\z"), f"(?!{word})").otherwise("")
+    return F.regexp_like(text, F.concat(before, quoted, after))
+
+
 def word_boundary_regex(word: str) -> str:
     """A pattern for a word whose neighbours aren't letters or digits; ``_`` is a boundary."""
     return rf"(?<![\p{{L}}\p{{N}}])\Q{word}\E(?![\p{{L}}\p{{N}}])"
@@ -174,11 +192,18 @@ def slug(heading: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
-    """Regular expression of a path glob: ``**`` crosses folders, ``*`` and ``?`` don't."""
-    quoted = re.sub(r"([.+^$(){}|\[\]\\])", r"\\\1", pattern)
+    """Regular expression of a path glob: ``**`` crosses folders, ``*``, ``?`` and classes (``[a-z]``, ``[!x]``) don't."""
+    classes: list[str] = []
+
+    def keep(m: re.Match) -> str:
+        inside = m[1].replace("\\", "\\\\").replace("[", "\\[")
+        classes.append(f"[^/{inside[1:]}]" if inside[0] == "!" else f"[{inside}]")
+        return f"\3{len(classes) - 1}\3"
+
+    quoted = re.sub(r"([.+^$(){}|\[\]\\])", r"\\\1", re.sub(r"\[(!?\]?[^\]/]+)\]", keep, pattern))
     for old, new in (("**/", "\1"), ("**", "\2"), ("*", "[^/]*"), ("?", "[^/]"), ("\1", "(?:.*/)?"), ("\2", ".*")):
         quoted = quoted.replace(old, new)
-    return f"^{quoted}$"
+    return "^" + re.sub("\3(\\d+)\3", lambda m: classes[int(m[1])], quoted) + "$"
 
 
 def strip_control(text: Column) -> Column:

@@ -262,10 +262,10 @@ def calibrate(findings: DataFrame, feedback: DataFrame, now_us: int, threshold:
 
 
 def few_shot(matched: DataFrame) -> DataFrame:
-    """Up to three examples per finding: at most two true ones, then false ones, then more true ones; by similarity, then seq."""
+    """Up to three examples per finding: at most two true ones, then at most two false ones, then more true ones; by similarity, then seq."""
     known = matched.filter("similarity >= 0.6 AND tier IN ('human', 'post_fix') AND v IN ('tp', 'fp')")
     own = Window.partitionBy("id", "v").orderBy(F.desc("similarity"), "seq")
-    placed = known.withColumn("n", F.row_number().over(own))
+    placed = known.withColumn("n", F.row_number().over(own)).filter("v = 'tp' OR n <= 2")
     turn = F.when((F.col("v") == "tp") & (F.col("n") <= 2), 0).when(F.col("v") == "fp", 1).otherwise(2)
     order = Window.partitionBy("id").orderBy(turn, F.desc("similarity"), "seq")
     return placed.withColumn("place", F.row_number().over(order)).filter("place <= 3").select("id", "place", "seq", "v", "similarity")

@@ -183,6 +183,6 @@ def suppress(findings: DataFrame, rules: list[dict]) -> DataFrame:
         if rule.get("category"):
             hit = hit & (category(F.col("category")) == category(F.lit(rule["category"])))
         if rule.get("file"):
-            hit = hit & F.coalesce(F.col("file_path").rlike(glob_regex(rule["file"])), F.lit(False))
+            hit = hit & F.coalesce(F.replace("file_path", F.lit("\\"), F.lit("/")).rlike(glob_regex(rule["file"])), F.lit(False))
         first = F.when(hit, n).otherwise(first)
     return findings.withColumn("rule_no", first)

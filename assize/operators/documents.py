@@ -291,19 +291,25 @@ def touched(findings: DataFrame, ranges: DataFrame) -> DataFrame:
     return findings.join(ranges, on, "left_semi")
 
 
-def dependencies(name: str, text: str) -> list[tuple[str, str]]:
-    """``(dependency, language)`` of a manifest by its file name, each once, in order of the name."""
+def dependencies(name: str, text: str, typescript: bool = False) -> list[tuple[str, str]]:
+    """``(dependency, language)`` of a manifest by its file name, each once, in order of the name.
+
+    ``typescript`` says that a tsconfig lies beside a package.json. Names of
+    crates are written with underscores, as code names them.
+    """
     import tomllib
 
     base = name.rsplit("/", 1)[-1].lower()
     try:
         if base == "cargo.toml":
             doc = tomllib.loads(text)
-            tables = [doc.get(k, {}) for k in ("dependencies", "dev-dependencies", "build-dependencies")] + [doc.get("workspace", {}).get("dependencies", {})]
-            return sorted({(n, "rust") for t in tables for n in t})
+            places = [doc, *(x for x in doc.get("target", {}).values() if isinstance(x, dict))]
+            tables = [p.get(k, {}) for p in places for k in ("dependencies", "dev-dependencies", "build-dependencies")]
+            return sorted({(n.replace("-", "_"), "rust") for t in tables if isinstance(t, dict) for n in t})
         if base == "package.json":
             doc = json.loads(text)
-            return sorted({(n, "javascript") for k in ("dependencies", "devDependencies", "peerDependencies") for n in (doc.get(k) or {})})
+            sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+            return sorted({(n, "typescript" if typescript else "javascript") for k in sections if isinstance(doc.get(k), dict) for n in doc[k]})
         if base == "pyproject.toml":
             doc = tomllib.loads(text)
             project, poetry = doc.get("project", {}), doc.get("tool", {}).get("poetry", {})
@@ -317,6 +323,19 @@ def dependencies(name: str, text: str) -> list[tuple[str, str]]:
     return []
 
 
+def project_dependencies(files: dict[str, str]) -> list[tuple[str, str]]:
+    """Dependencies of one project folder from its files by name; requirements.txt counts where no pyproject.toml can be read."""
+    import tomllib
+
+    found = dependencies("Cargo.toml", files.get("Cargo.toml", "")) + dependencies("package.json", files.get("package.json", ""), "tsconfig.json" in files)
+    try:
+        readable = "pyproject.toml" in files and bool({"project", "tool", "dependency-groups"} & set(tomllib.loads(files["pyproject.toml"])))
+    except tomllib.TOMLDecodeError:
+        readable = False
+    name = "pyproject.toml" if readable else "requirements.txt"
+    return found + dependencies(name, files.get(name, ""))
+
+
 def _bare(spec: str) -> str:
     m = re.match(r"\s*([A-Za-z0-9][A-Za-z0-9._\-]*)", spec.split("#")[0])
     return m[1] if m else ""

@@ -93,18 +93,19 @@ def grounded(findings: DataFrame, lines: DataFrame, around: int = 2) -> DataFram
 
     ``lines``: file_path, n_lines, lines (array). A line range outside the file
     is line-out-of-range; an identifier of the title missing within ``around``
-    lines is symbol-not-found; both lower the severity by one level.
+    lines is symbol-not-found; both lower the severity by one level. Other
+    sources, unknown files and titles without an identifier are not-checked.
     """
-    from ..functions.text import backtick_identifiers, severity_name, severity_rank
+    from ..functions.text import backtick_identifiers, contains_symbol, severity_name, severity_rank
 
     rows = findings.join(lines, "file_path", "left")
     inside = (F.col("line_start") >= 1) & (F.col("line_start") <= F.col("line_end")) & (F.col("line_end") <= F.col("n_lines"))
     first = F.greatest(F.lit(1), F.col("line_start") - around)
     near = F.array_join(F.slice("lines", first, F.greatest(F.lit(0), F.least(F.col("n_lines"), F.col("line_end") + around) - first + 1)), "\n")
     names = backtick_identifiers(F.col("title"))
-    there = F.forall(names, lambda n: F.contains(near, n))
+    there = F.forall(names, lambda n: contains_symbol(near, n))
     status = (
-        F.when((F.col("source_kind") != "llm") | F.col("lines").isNull(), "not-checked").when(~inside, "line-out-of-range").when(there, "verified").otherwise("symbol-not-found")
+        F.when((F.col("source_kind") != "llm") | F.col("lines").isNull(), "not-checked").when(F.coalesce(~inside, F.lit(True)), "line-out-of-range").when(F.coalesce(F.size(names), F.lit(0)) == 0, "not-checked").when(there, "verified").otherwise("symbol-not-found")
     )
     lower = F.col("status").isin("line-out-of-range", "symbol-not-found")
     rank = severity_rank(F.col("severity"))

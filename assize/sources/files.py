@@ -38,6 +38,12 @@ def diagnostics(files: DataFrame) -> DataFrame:
 
 
 def subtype(path):
-    """readme, changelog, adr or doc of a Markdown path."""
-    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    return F.when(name.startswith("readme"), "readme").when(name.startswith("changelog"), "changelog").when(F.lower(path).rlike(r"(^|/)adrs?/|(^|/)decisions/"), "adr").otherwise("doc")
+    """readme, changelog, adr or doc of a Markdown path, by the name without its ending, in any case."""
+    low = F.lower(path)
+    stem = F.regexp_replace(F.regexp_extract(low, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return (
+        F.when(stem.contains("readme"), "readme")
+        .when(stem.contains("changelog") | stem.contains("history"), "changelog")
+        .when(low.contains("docs/adr/") | stem.contains("adr") | stem.contains("decision"), "adr")
+        .otherwise("doc")
+    )

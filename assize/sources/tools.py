@@ -1,7 +1,9 @@
 """Output of linters and language models as findings.
 
 Each reader takes ``(run_id, output)`` rows and gives ``run_id, file_path, rule,
-title, severity, category, line_start, line_end``. Output that can't be read gives no rows.
+title, description, severity, category, line_start, line_end, evidence``. The
+category is the canonical one of the tool's label. Output that can't be read
+gives no rows.
 """
 
 from __future__ import annotations
@@ -13,12 +15,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = ("run_id", "file_path", "rule", "title", "severity", "category", "line_start", "line_end")
+from ..functions.text import category
 
+COLUMNS = ("run_id", "file_path", "rule", "title", "description", "severity", "category", "line_start", "line_end", "evidence")
 
-def _table(rows: DataFrame, path: Column, rule: Column, title: Column, severity: Column, category: Column, first: Column, last: Column) -> DataFrame:
+
+def _table(rows: DataFrame, tool: str, path: Column, rule: Column, message: Column, severity: Column, first: Column, last: Column, label: Column | None = None) -> DataFrame:
+    message = F.coalesce(message, F.lit(""))
     start = F.coalesce(first.try_cast("int"), F.lit(1))
-    values = (F.col("run_id"), path, rule, title, severity, category, start, F.greatest(start, F.coalesce(last.try_cast("int"), start)))
+    values = (
+        F.col("run_id"), path, rule, F.concat(rule, F.lit(": "), message), message, severity, category(F.lit("lint") if label is None else label),
+        start, F.coalesce(last.try_cast("int"), start), F.array(F.concat(F.lit(f"{tool} "), rule)),
+    )
     return rows.select(*[v.alias(n) for v, n in zip(values, COLUMNS)])
 
 
@@ -27,63 +35,82 @@ def _items(outputs: DataFrame, schema: str, path: str = "") -> DataFrame:
     return outputs.select("run_id", F.explode(doc[path] if path else doc).alias("x"))
 
 
+def _named(rule: str) -> Column:
+    return F.coalesce(F.col(rule), F.lit("unknown"))
+
+
+def _level(level: Column, **severities: str) -> Column:
+    """Severity of a tool's level; ``other`` is that of any unnamed one."""
+    other = severities.pop("other")
+    out = None
+    for name, severity in severities.items():
+        out = F.when(level == name, severity) if out is None else out.when(level == name, severity)
+    return out.otherwise(other)
+
+
 def ruff(outputs: DataFrame) -> DataFrame:
     rows = _items(outputs, "array<struct<code:string,message:string,filename:string,location:struct<row:int>,end_location:struct<row:int>>>")
-    code = F.coalesce("x.code", F.lit(""))
-    severity = F.when(code.rlike("^(?:S|F8|E9)"), "high").when(code.rlike("^(?:F|B|E7)"), "medium").otherwise("low")
-    category = F.when(code.startswith("S"), "security").when(code.rlike("^(?:F|B|E9)"), "correctness").when(code.startswith("PERF"), "performance").otherwise("maintainability")
-    return _table(rows, F.col("x.filename"), code, F.concat_ws(": ", "x.code", "x.message"), severity, category, F.col("x.location.row"), F.col("x.end_location.row"))
+    code = _named("x.code")
+    first = F.substring(code, 1, 1)
+    label = _level(first, F="import", E="style", W="style", S="security", B="bug", C="complexity", other="lint")
+    return _table(rows, "ruff", F.col("x.filename"), code, F.col("x.message"), _level(first, S="high", B="medium", F="medium", E="low", W="low", other="info"), F.col("x.location.row"), F.col("x.end_location.row"), label)
 
 
 def clippy(outputs: DataFrame) -> DataFrame:
-    """One JSON document per line; only compiler messages count."""
+    """One JSON document per line; only compiler messages count, at their first place."""
     lines = outputs.select("run_id", F.explode(F.split("output", "\n")).alias("line"))
-    doc = F.from_json("line", "struct<reason:string,message:struct<message:string,level:string,code:struct<code:string>,spans:array<struct<file_name:string,line_start:int,line_end:int,is_primary:boolean>>>>")
-    rows = lines.select("run_id", doc.alias("x")).filter("x.reason = 'compiler-message' AND x.message.message IS NOT NULL")
-    spans = F.filter("x.message.spans", lambda s: s["is_primary"])
-    rows = rows.withColumn("s", F.get(spans, 0)).filter("s IS NOT NULL")
-    severity = F.when(F.col("x.message.level") == "error", "high").when(F.col("x.message.level") == "warning", "medium").otherwise("low")
-    return _table(rows, F.col("s.file_name"), F.col("x.message.code.code"), F.col("x.message.message"), severity, F.lit("maintainability"), F.col("s.line_start"), F.col("s.line_end"))
+    doc = F.from_json("line", "struct<reason:string,message:struct<message:string,level:string,code:struct<code:string>,spans:array<struct<file_name:string,line_start:int,line_end:int>>>>")
+    rows = lines.select("run_id", doc.alias("x")).filter("x.reason = 'compiler-message'").withColumn("s", F.get("x.message.spans", 0))
+    severity = _level(F.coalesce("x.message.level", F.lit("warning")), error="high", warning="medium", other="low")
+    return _table(rows, "clippy", F.col("s.file_name"), _named("x.message.code.code"), F.col("x.message.message"), severity, F.col("s.line_start"), F.coalesce("s.line_end", F.lit(1)))
 
 
 def eslint(outputs: DataFrame) -> DataFrame:
     files = _items(outputs, "array<struct<filePath:string,messages:array<struct<ruleId:string,severity:int,message:string,line:int,endLine:int>>>>")
     rows = files.select("run_id", F.col("x.filePath").alias("path"), F.explode("x.messages").alias("x"))
-    severity = F.when(F.col("x.severity") >= 2, "high").when(F.col("x.severity") == 1, "medium").otherwise("low")
-    return _table(rows, F.col("path"), F.col("x.ruleId"), F.col("x.message"), severity, F.lit("maintainability"), F.col("x.line"), F.col("x.endLine"))
+    severity = F.when(F.coalesce("x.severity", F.lit(1)) == 2, "high").when(F.coalesce("x.severity", F.lit(1)) == 1, "medium").otherwise("low")
+    return _table(rows, "eslint", F.col("path"), _named("x.ruleId"), F.col("x.message"), severity, F.col("x.line"), F.col("x.endLine"))
 
 
 def shellcheck(outputs: DataFrame) -> DataFrame:
-    rows = _items(outputs, "array<struct<file:string,line:int,endLine:int,level:string,code:int,message:string>>")
-    severity = F.when(F.col("x.level") == "error", "high").when(F.col("x.level") == "warning", "medium").when(F.col("x.level") == "info", "low").otherwise("info")
-    rule = F.concat(F.lit("SC"), F.col("x.code").cast("string"))
-    return _table(rows, F.col("x.file"), rule, F.concat_ws(": ", rule, "x.message"), severity, F.lit("reliability"), F.col("x.line"), F.col("x.endLine"))
+    """Output of the format json1: an object with ``comments``."""
+    rows = _items(outputs, "struct<comments:array<struct<file:string,line:int,endLine:int,level:string,code:int,message:string>>>", "comments")
+    severity = _level(F.coalesce("x.level", F.lit("warning")), error="high", warning="medium", info="low", style="info", other="low")
+    return _table(rows, "shellcheck", F.col("x.file"), F.concat(F.lit("SC"), F.coalesce("x.code", F.lit(0)).cast("string")), F.col("x.message"), severity, F.col("x.line"), F.col("x.endLine"))
 
 
 def tflint(outputs: DataFrame) -> DataFrame:
     rows = _items(outputs, "struct<issues:array<struct<rule:struct<name:string,severity:string>,message:string,range:struct<filename:string,start:struct<line:int>,end:struct<line:int>>>>>", "issues")
-    severity = F.when(F.lower("x.rule.severity") == "error", "high").when(F.lower("x.rule.severity") == "warning", "medium").otherwise("low")
-    return _table(rows, F.col("x.range.filename"), F.col("x.rule.name"), F.col("x.message"), severity, F.lit("reliability"), F.col("x.range.start.line"), F.col("x.range.end.line"))
+    severity = _level(F.coalesce("x.rule.severity", F.lit("warning")), error="high", warning="medium", other="low")
+    return _table(rows, "tflint", F.col("x.range.filename"), _named("x.rule.name"), F.col("x.message"), severity, F.col("x.range.start.line"), F.col("x.range.end.line"))
 
 
 def _lines(outputs: DataFrame) -> DataFrame:
-    return outputs.select("run_id", F.explode(F.split("output", r"\r?\n")).alias("line")).filter("line != ''")
+    bare = F.regexp_replace("output", r"\x1b\[[\d;]*m", "")
+    return outputs.select("run_id", F.explode(F.split(bare, r"\r?\n")).alias("line"))
 
 
 def yamllint(outputs: DataFrame) -> DataFrame:
-    """``path:line:column: [level] message (rule)``; the line is the third field from the end of the prefix."""
-    rx = r"^(.*):(\d+):(\d+): \[(\w+)\] (.*?)(?: \(([\w\-]+)\))?$"
+    """``path:line:column: [level] message``; the line is the third part from the end of what stands before the level."""
+    rx = r"^(.*?) \[(error|warning)\](.*)$"
     rows = _lines(outputs).filter(F.col("line").rlike(rx))
     g = lambda n: F.regexp_extract("line", rx, n)
-    return _table(rows, g(1), F.nullif(g(6), F.lit("")), g(5), F.when(g(4) == "error", "medium").otherwise("low"), F.lit("maintainability"), g(2), g(2))
+    parts = F.split(g(1), ":")
+    place = F.when(F.size(parts) >= 3, F.get(parts, F.size(parts) - 3))
+    path = F.array_join(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 3)), ":")
+    severity = F.when(g(2) == "error", "high").otherwise("medium")
+    rows = _table(rows, "yamllint", path, F.lit("yamllint"), F.trim(g(3)), severity, F.trim(place), F.trim(place))
+    return rows.withColumn("evidence", F.array(F.lit("yamllint")))
 
 
 def hadolint(outputs: DataFrame) -> DataFrame:
-    rx = r"^(.*):(\d+) (?:\x1b\[[\d;]*m)?(\w+)(?:\x1b\[[\d;]*m)? (?:\x1b\[[\d;]*m)?(error|warning|info|style)(?:\x1b\[[\d;]*m)?: (.*)$"
+    """``path:line rule level: message``."""
+    rx = r"^(\S*) (\S+) (\S+) (.*)$"
     rows = _lines(outputs).filter(F.col("line").rlike(rx))
     g = lambda n: F.regexp_extract("line", rx, n)
-    severity = F.when(g(4) == "error", "high").when(g(4) == "warning", "medium").when(g(4) == "info", "low").otherwise("info")
-    return _table(rows, g(1), g(3), F.concat_ws(": ", g(3), g(5)), severity, F.lit("reliability"), g(2), g(2))
+    place = F.regexp_extract(g(1), r":(\d+)$", 1)
+    severity = _level(F.regexp_replace(g(3), ":+$", ""), error="high", warning="medium", other="low")
+    return _table(rows, "hadolint", F.regexp_replace(g(1), r":[^:]*$", ""), g(2), g(4), severity, place, place)
 
 
 def _array(text: str) -> str | None:
@@ -124,10 +151,11 @@ def repair(text: str | None) -> list[dict]:
     """Finding objects of a model's answer: fences stripped, the array found, envelopes opened, escapes repaired."""
     if not text:
         return []
+    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
     bare = re.sub(r"^\s*```[\w]*\s*\n?|\n?\s*```\s*$", "", text)
     doc = _load(bare)
     if isinstance(doc, dict):
-        doc = next((doc[k] for k in ("findings", "issues", "results") if isinstance(doc.get(k), list)), [doc] if "title" in doc else None)
+        doc = next((doc[k] for full in (True, False) for k in ("findings", "issues", "results") if isinstance(doc.get(k), list) and (doc[k] or not full)), [doc] if "title" in doc else None)
     if not isinstance(doc, list):
         body = _array(bare)
         doc = _load(body) if body else None
@@ -141,6 +169,13 @@ def _int(value, least: int = 1) -> int:
         return least
 
 
+#: Severity by what models call it (fixed values).
+LEVELS = {
+    "critical": "critical", "high": "high", "error": "high", "medium": "medium", "warning": "medium", "warn": "medium",
+    "low": "low", "note": "low", "info": "info", "suggestion": "info", "hint": "info",
+}
+
+
 def model_answers(outputs: DataFrame) -> DataFrame:
     """Findings of model answers: severity of unknown name is medium, lines are at least 1, confidence in [0, 1] or null."""
 
@@ -149,11 +184,11 @@ def model_answers(outputs: DataFrame) -> DataFrame:
             rows = []
             for run_id, output in zip(batch["run_id"], batch["output"]):
                 for x in repair(output):
-                    severity = str(x.get("severity", "")).strip().lower()
+                    severity = LEVELS.get(str(x.get("severity", "")).lower(), "medium")
                     first = _int(x.get("line_start", x.get("line")))
                     sure = x.get("confidence")
                     sure = min(1.0, max(0.0, float(sure))) if isinstance(sure, (int, float)) and not isinstance(sure, bool) and sure == sure else None
-                    rows.append((run_id, x["title"], str(x.get("description", "")), severity if severity in ("info", "low", "medium", "high", "critical") else "medium", str(x.get("category", "")), first, max(first, _int(x.get("line_end", first))), sure))
+                    rows.append((run_id, x["title"], str(x.get("description", "")), severity, str(x.get("category", "")), first, max(first, _int(x.get("line_end", first))), sure))
             yield pd.DataFrame(rows, columns=["run_id", "title", "description", "severity", "category", "line_start", "line_end", "confidence"])
 
     return outputs.select("run_id", "output").mapInPandas(run, "run_id string, title string, description string, severity string, category string, line_start int, line_end int, confidence double")

@@ -16,13 +16,19 @@ from ..sources.logs import CORRUPT, DEFAULTS, MAX_LINE, SCHEMAS
 
 
 def stream(spark: SparkSession, folder: str, log: str = "inbox", archive: str | None = None, files_per_batch: int = 1_000) -> DataFrame:
-    """Rows of the folder's ``*.jsonl`` files of at most 1 MiB; unreadable lines have their text in ``_corrupt``."""
+    """Rows of the folder's ``*.jsonl`` files of at most 1 MiB (``too_large`` lists the others); unreadable lines have their text in ``_corrupt``."""
     reader = spark.readStream.schema(f"{SCHEMAS[log]}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     return reader.json(folder).filter(F.col("_metadata.file_size") <= MAX_LINE).na.fill(DEFAULTS[log])
 
 
+def too_large(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length`` of the files that ``stream`` leaves out for their size."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(folder)
+    return files.select("path", "length").filter(F.col("length") > MAX_LINE)
+
+
 def drain(rows: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Append what lies in the folder to a parquet table and end."""
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(sink)

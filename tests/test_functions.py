@@ -78,4 +78,4 @@ def test_glob():
 
 def test_sparkline(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0, 1.0],)], "v array<double>")
-    assert [tuple(r) for r in df.select(N.sparkline(F.col("v")), N.trend_arrow(F.col("v"))).collect()] == [("▁▄█", "up"), ("▁▁", "flat")]
+    assert [tuple(r) for r in df.select(N.sparkline(F.col("v")), N.trend_arrow(F.col("v"))).collect()] == [("▁▅█", "up"), ("▁▁", "flat")]
