@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import embedding, numbers, prompt, text
 from ..functions.records import annotator, provenance_kind, verdict
 from ..operators import calibration, context, corpus_join, curves, documents, hydration, kpi, merging, retrieval, scanning, schema_drift, trends
-from ..sources import logs
+from ..sources import logs, tools
 from ..storage import materialize, shared_dir, table
 from ..streaming import inbox
 from . import sql as S
@@ -118,6 +119,19 @@ _add("trend_arrows", lambda s, d: trends.trend_arrows(table(s, d, "reviews")),
      f"""WITH {_SPARK}, e AS (SELECT repo, arg_min(value, bucket) AS f, arg_max(value, bucket) AS l FROM b GROUP BY repo)
  SELECT repo, CASE WHEN (l - f) / greatest(abs(f), 1e-9) > 0.05 THEN 'up' WHEN (l - f) / greatest(abs(f), 1e-9) < -0.05 THEN 'down' ELSE 'flat' END AS arrow FROM e""")
 
+_add("series_glyphs", lambda s, d: trends.sparklines(table(s, d, "reviews")).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("bucket", "value"))).alias("v")).select("repo", numbers.sparkline(F.col("v.value")).alias("glyphs")),  # five values
+     f"""WITH {_SPARK}, m AS (SELECT *, min(value) OVER (PARTITION BY repo) AS lo, max(value) OVER (PARTITION BY repo) AS hi FROM b)
+ SELECT repo, string_agg(substr('▁▂▃▄▅▆▇█', CASE WHEN hi > lo THEN round((value - lo) / (hi - lo) * 7)::INT ELSE 0 END + 1, 1), '' ORDER BY bucket) AS glyphs FROM m GROUP BY repo""")
+_add("context_sparkline", lambda s, d: trends.context_sparklines(table(s, d, "reviews"), "repo", "files_reviewed"),
+     """WITH o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY reviewed_at, run_id, received_at) AS i, count(*) OVER (PARTITION BY repo) AS total FROM reviews),
+ k AS (SELECT *, unnest(range(5)) AS bucket FROM o)
+ SELECT repo, bucket::INT AS bucket, count(*) AS n_reviews, round(avg(coalesce(files_reviewed, 0)), 6) AS value FROM k
+ WHERE i > bucket * total // 5 AND i <= least(total, greatest((bucket + 1) * total // 5, bucket * total // 5 + 1)) GROUP BY ALL""")
+_add("last_reviews", lambda s, d: trends.last_n(table(s, d, "reviews"), 50).select("run_id", numbers.micros(F.col("received_at")).alias("received_us")),
+     "SELECT run_id, epoch_us(received_at) AS received_us FROM reviews ORDER BY reviewed_at DESC, run_id DESC, received_at DESC LIMIT 50")
+_add("repos_by_count", lambda s, d: kpi.by_count(table(s, d, "reviews"), "repo"),
+     "SELECT repo, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, repo NULLS LAST)::INT AS place FROM reviews GROUP BY repo")
+
 # -- curves and thresholds ---------------------------------------------------------------
 
 
@@ -364,10 +378,11 @@ def _redact_sql() -> str:
 
 
 _add("redact_secrets", lambda s, d: table(s, d, "chunks").select("id", F.md5(text.redact_secrets(F.col("content"))).alias("redacted")), _redact_sql())
-_add("decoded_enums", lambda s, d: table(s, d, "feedback").select("seq", verdict(F.col("verdict")).alias("v"), provenance_kind(F.col("provenance")).alias("tier"), F.when(provenance_kind(F.col("provenance")) == "external", F.substring(annotator(F.col("provenance")), 10, 100)).alias("agent")),
+_add("decoded_enums", lambda s, d: table(s, d, "feedback").select("seq", verdict(F.col("verdict")).alias("v"), provenance_kind(F.col("provenance")).alias("tier"), F.when(provenance_kind(F.col("provenance")) == "external", F.substr(annotator(F.col("provenance")), F.lit(10))).alias("agent")),
      f"WITH {S.FB} SELECT seq, v, tier, agent FROM fb")
 _add("identifiers_harvest", lambda s, d: table(s, d, "findings").select("id", F.array_join(text.backtick_identifiers(F.col("title")), "|").alias("names")),
-     r"SELECT id, array_to_string(list_filter(list_transform(regexp_extract_all(title, '`([^`]+)`', 1), lambda x: regexp_replace(x, '\(\)$', '')), lambda x: strlen(x) >= 4), '|') AS names FROM findings")
+     rf"""SELECT id, array_to_string(list_distinct_ordered, '|') AS names FROM (SELECT id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_ordered FROM (
+ SELECT id, list_filter(list_transform(regexp_extract_all(title, '`([^`]+)`', 1), lambda x: regexp_replace(trim(x), '\(\)$', '')), lambda x: strlen(x) >= 4 AND x NOT IN ({", ".join(f"'{w}'" for w in text.STOP_IDENTIFIERS)})) AS l FROM findings))""")
 _add("token_estimates", lambda s, d: table(s, d, "chunks").select("id", text.token_estimate(F.col("content")).alias("tokens")), "SELECT id, ((strlen(content) + 3) // 4)::BIGINT AS tokens FROM chunks")
 _add("merge_findings", lambda s, d: merging.merge_findings(table(s, d, "findings")))
 
@@ -386,6 +401,75 @@ _add("chunk_faults", lambda s, d: logs.validate_chunks(table(s, d, "chunks")),
  CASE WHEN isnan(confidence) OR confidence < 0 OR (confidence > 1 AND NOT isnan(confidence)) THEN 'confidence' END], lambda x: x IS NOT NULL)) AS fault FROM chunks
  UNION ALL SELECT id, 'duplicate id' FROM chunks GROUP BY id HAVING count(*) > 1""")
 
+
+
+def _tool_outputs(s: SparkSession, d: str, tool: str) -> DataFrame:
+    """Every finding as the output of a linter, one document each."""
+    n = F.floor(F.length("id") + F.coalesce("line_start", F.lit(0))).cast("int")
+    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").when(F.col("severity") == "low", "info").otherwise("style")
+    said = F.trim(F.regexp_replace(F.coalesce("title", F.lit("")), r"\s+", " "))
+    code = F.concat(F.element_at(F.array(*[F.lit(c) for c in "FEWSBCX"]), F.pmod(n, F.lit(7)) + 1), n.cast("string"))
+    first, last = F.col("line_start"), F.col("line_end")
+    rank = F.when(level == "error", 2).when(level == "warning", 1).otherwise(0)
+    j = lambda c: F.to_json(c)
+    output = {
+        "ruff": lambda: j(F.array(F.struct(code.alias("code"), said.alias("message"), F.struct(first.alias("row")).alias("location"), F.struct(last.alias("row")).alias("end_location")))),
+        "clippy": lambda: j(F.struct(F.lit("compiler-message").alias("reason"), F.struct(said.alias("message"), level.alias("level"), F.struct(code.alias("code")).alias("code"), F.array(F.struct(first.alias("line_start"), last.alias("line_end"))).alias("spans")).alias("message"))),
+        "eslint": lambda: j(F.array(F.struct(F.lit("f").alias("filePath"), F.array(F.struct(code.alias("ruleId"), rank.alias("severity"), said.alias("message"), first.alias("line"), last.alias("endLine"))).alias("messages")))),
+        "shellcheck": lambda: j(F.struct(F.array(F.struct(n.alias("code"), level.alias("level"), said.alias("message"), first.alias("line"), last.alias("endLine"))).alias("comments"))),
+        "tflint": lambda: j(F.struct(F.array(F.struct(F.struct(code.alias("name"), level.alias("severity")).alias("rule"), said.alias("message"), F.struct(F.struct(first.alias("line")).alias("start"), F.struct(last.alias("line")).alias("end")).alias("range"))).alias("issues"))),
+        "yamllint": lambda: F.concat(F.lit("a b.yaml:"), F.coalesce(first.cast("string"), F.lit("")), F.lit(":1: ["), level, F.lit("] "), said),
+        "hadolint": lambda: F.concat(F.lit("Dockerfile:"), F.coalesce(first.cast("string"), F.lit("")), F.lit(" "), code, F.lit(" "), level, F.lit(": "), said),
+    }[tool]()
+    return table(s, d, "findings").select(F.col("id").alias("run_id"), output.alias("output"))
+
+
+def _linters(s: SparkSession, d: str) -> DataFrame:
+    parts = [getattr(tools, t)(_tool_outputs(s, d, t)).select("run_id", F.lit(t).alias("tool"), "title", "severity", "category", "line_start", "line_end") for t in ("ruff", "clippy", "eslint", "shellcheck", "tflint", "yamllint", "hadolint")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_add("linter_findings", _linters, r"""
+WITH f AS (SELECT id AS run_id, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')) AS said, length(id) + coalesce(line_start, 0) AS n, coalesce(line_start, 1) AS a, coalesce(line_end, line_start, 1) AS b, line_end,
+  CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'low' THEN 'info' ELSE 'style' END AS level FROM findings),
+c AS (SELECT *, substr('FEWSBCX', (((n % 7) + 7) % 7)::INT + 1, 1) AS letter FROM f), k AS (SELECT *, letter || n AS code FROM c)
+SELECT run_id, 'ruff' AS tool, code || ': ' || said AS title, CASE letter WHEN 'S' THEN 'high' WHEN 'B' THEN 'medium' WHEN 'F' THEN 'medium' WHEN 'E' THEN 'low' WHEN 'W' THEN 'low' ELSE 'info' END AS severity,
+  CASE letter WHEN 'S' THEN 'security' WHEN 'B' THEN 'correctness' WHEN 'C' THEN 'performance' ELSE 'maintainability' END AS category, a AS line_start, b AS line_end FROM k
+UNION ALL SELECT run_id, 'clippy', code || ': ' || said, CASE level WHEN 'error' THEN 'high' WHEN 'warning' THEN 'medium' ELSE 'low' END, 'maintainability', a, coalesce(line_end, 1) FROM k
+UNION ALL SELECT run_id, 'eslint', code || ': ' || said, CASE level WHEN 'error' THEN 'high' WHEN 'warning' THEN 'medium' ELSE 'low' END, 'maintainability', a, b FROM k
+UNION ALL SELECT run_id, 'shellcheck', 'SC' || n || ': ' || said, CASE level WHEN 'error' THEN 'high' WHEN 'warning' THEN 'medium' WHEN 'info' THEN 'low' ELSE 'info' END, 'maintainability', a, b FROM k
+UNION ALL SELECT run_id, 'tflint', code || ': ' || said, CASE level WHEN 'error' THEN 'high' WHEN 'warning' THEN 'medium' ELSE 'low' END, 'maintainability', a, b FROM k
+UNION ALL SELECT run_id, 'yamllint', 'yamllint: ' || said, CASE level WHEN 'error' THEN 'high' ELSE 'medium' END, 'maintainability', a, a FROM k WHERE level IN ('error', 'warning')
+UNION ALL SELECT run_id, 'hadolint', code || ': ' || said, CASE level WHEN 'error' THEN 'high' WHEN 'warning' THEN 'medium' ELSE 'low' END, 'maintainability', a, a FROM k""")
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    words = F.array(*[F.lit(w) for w in ("critical", "HIGH", "error", "warning", "warn", "note", "low", "suggestion", "hint", "info", "blocker")])
+    word = F.element_at(words, F.pmod(F.coalesce("line_start", F.lit(0)), F.lit(11)) + 1)
+    item = F.struct(F.coalesce("title", F.lit("")).alias("title"), word.alias("severity"), F.col("line_start"), F.col("line_end"))
+    rows = table(s, d, "findings").select(F.col("id").alias("run_id"), F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(item).alias("findings"))), F.lit("\n```")).alias("output"))
+    return tools.model_answers(rows).select("run_id", "title", "severity", "line_start", "line_end")
+
+
+_add("model_findings", _answers, r"""
+WITH f AS (SELECT id AS run_id, coalesce(title, '') AS title, ((coalesce(line_start, 0) % 11) + 11) % 11 AS k, greatest(1, coalesce(line_start, 1)) AS line_start, line_end FROM findings)
+SELECT run_id, title, (['critical', 'high', 'high', 'medium', 'medium', 'low', 'low', 'info', 'info', 'info', 'medium'])[k + 1] AS severity, line_start, greatest(line_start, coalesce(line_end, 1)) AS line_end FROM f""")
+
+
+def _grounded(s: SparkSession, d: str) -> DataFrame:
+    """Findings against the description of the finding, as the lines of a file of their own."""
+    found = table(s, d, "findings").select("id", "title", "source_kind", "severity", F.col("id").alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
+    lines = table(s, d, "findings").select(F.col("id").alias("file_path"), F.split(F.coalesce("description", F.lit("")), "\n").alias("lines")).withColumn("n_lines", F.size("lines"))
+    return merging.grounded(found, lines)
+
+
+_add("grounding_check", _grounded, rf"""
+WITH f AS (SELECT id, source_kind, severity, array_to_string(string_split(coalesce(description, ''), chr(10))[1:3], chr(10)) AS near,
+  list_filter(list_transform(regexp_extract_all(title, '`([^`]+)`', 1), lambda x: regexp_replace(trim(x), '\(\)$', '')), lambda x: strlen(x) >= 4 AND x NOT IN ({", ".join(f"'{w}'" for w in text.STOP_IDENTIFIERS)})) AS names FROM findings),
+t AS (SELECT *, list_bool_and(list_transform(names, lambda x: regexp_matches(near, CASE WHEN regexp_matches(x, '^[\p{{L}}\p{{N}}_]') THEN '(^|[^\p{{L}}\p{{N}}_])' ELSE '' END || regexp_escape(x) || CASE WHEN regexp_matches(x, '[\p{{L}}\p{{N}}_]$') THEN '($|[^\p{{L}}\p{{N}}_])' ELSE '' END))) AS there FROM f),
+u AS (SELECT *, CASE WHEN source_kind <> 'llm' OR coalesce(len(names), 0) = 0 THEN 'not-checked' WHEN there THEN 'verified' ELSE 'symbol-not-found' END AS status FROM t)
+SELECT id, status, CASE WHEN status <> 'symbol-not-found' THEN lower(severity) ELSE (['info', 'info', 'low', 'medium', 'high'])[list_position(['info', 'low', 'medium', 'high', 'critical'], lower(severity))] END AS severity FROM u""")
+
 _add("path_words", lambda s, d: table(s, d, "chunks").select("id", F.array_join(prompt.path_words(F.col("source_path")), "|").alias("words")),
      r"""SELECT id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(source_path, '\.[^./\\]*$', ''), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[/\\_-]+'),
  lambda x: strlen(x) >= 3 AND NOT list_contains(['src', 'lib', 'tests', 'test', 'mod', 'main', 'rs', 'py', 'ts', 'js', 'tsx', 'jsx', 'mjs', 'cjs', 'yaml', 'yml', 'sh', 'bash', 'zsh', 'tf', 'tfvars'], lower(x))), '|') AS words FROM chunks""")
