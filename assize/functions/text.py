@@ -122,6 +122,45 @@ def embedding_text(title: Column, description: Column, raw_category: Column) ->
     return F.concat_ws(" ", classify_pattern(title, description, raw_category), raw_category, title)
 
 
+def _with(text: Column, extras: Column) -> Column:
+    """A text and, behind it, those extras that aren't blank."""
+    said = F.filter(F.transform(F.coalesce(extras, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.when(F.size(said) > 0, F.concat(text, F.lit(" "), F.array_join(said, " "))).otherwise(text)
+
+
+def embedding_text_enriched(title: Column, description: Column, raw_category: Column, extras: Column) -> Column:
+    """``embedding_text`` with words that tell alike findings apart."""
+    return _with(embedding_text(title, description, raw_category), extras)
+
+
+def enriched_query(title: Column, extras: Column) -> Column:
+    return _with(title, extras)
+
+
+def index_text(title: Column, reason: Column) -> Column:
+    """Text of a feedback entry for an index: title and, unless blank, reason."""
+    return _with(title, F.array(reason))
+
+
+def match_expression(names: Column) -> Column:
+    """Names as quoted phrases joined by OR; null without any name."""
+    parts = F.filter(F.transform(names, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    quoted = F.transform(parts, lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.when(F.size(quoted) > 0, F.array_join(quoted, " OR "))
+
+
+#: What an error text of a service may repeat of a request's secrets (fixed value).
+ERROR_SECRETS = (
+    r"""(?i)bearer\s+[A-Za-z0-9_\-.=]+|sk-[A-Za-z0-9_\-]+|api[\s_-]?key["']?\s*[:=]\s*["']?[A-Za-z0-9_\-]+"""
+    r"""|x-api-key["']?\s*[:=]\s*["']?[A-Za-z0-9_\-]+|"(?:token|secret|access_token)"\s*:\s*"[^"]+\""""
+)
+
+
+def sanitize_error(body: Column, most: int = 200) -> Column:
+    """An error text without secrets, its first ``most`` characters."""
+    return F.substring(F.regexp_replace(body, ERROR_SECRETS, "[REDACTED]"), 1, most)
+
+
 def redact_secrets(text: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, p[0], p[1]), SECRET_PATTERNS, text)
 

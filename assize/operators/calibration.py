@@ -261,6 +261,18 @@ def calibrate(findings: DataFrame, feedback: DataFrame, now_us: int, threshold:
     return decide(findings, vote, suppress_below, boost_from)
 
 
+#: Weights of a trace that its fingerprint writes with four places (fixed values).
+WEIGHTS = ("tp_weight", "fp_weight", "wontfix_weight", "full_suppress_weight", "soft_fp_weight")
+
+
+def fingerprints(traces: DataFrame, *keys: str) -> DataFrame:
+    """What of a trace must stay equal between versions: names, severities, action, rounded weights and the number of precedents."""
+    return traces.select(
+        *keys, "finding_title", "finding_category", "input_severity", "output_severity", "calibrator_action", "severity_change_reason",
+        *[F.format_string("%.4f", w).alias(w) for w in WEIGHTS], F.coalesce(F.size("matched_precedents"), F.lit(0)).alias("n_precedents"),
+    )
+
+
 def few_shot(matched: DataFrame) -> DataFrame:
     """Up to three examples per finding: at most two true ones, then at most two false ones, then more true ones; by similarity, then seq."""
     known = matched.filter("similarity >= 0.6 AND tier IN ('human', 'post_fix') AND v IN ('tp', 'fp')")

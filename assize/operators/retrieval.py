@@ -244,6 +244,79 @@ def candidate_union(bm25_hits: DataFrame, vec_hits: DataFrame, name_hits: DataFr
     return rows.groupBy("query_id", "id").agg(F.max("bm25").alias("bm25"), F.max("vec").alias("vec"), F.bool_or("exact").alias("exact"))
 
 
+def filtered(chunks: DataFrame, sources: tuple[str, ...] = (), kinds: tuple[str, ...] = (), exclude_paths: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of the sources and kinds (all if none is named) whose path isn't excluded; a null path never is."""
+    if sources:
+        chunks = chunks.filter(F.col("source").isin(*sources))
+    if kinds:
+        chunks = chunks.filter(F.col("chunk_kind").isin(*kinds))
+    if exclude_paths:
+        chunks = chunks.filter(F.coalesce(~F.col("source_path").isin(*exclude_paths), F.lit(True)))
+    return chunks
+
+
+def by_ids(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks whose id is in ``ids``, once each row."""
+    return chunks.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, now_us: int, k: int, pool: int = 40, least: float = 0.0, **filters: tuple[str, ...]) -> DataFrame:
+    """All three legs, blended: ``query_id, id, rank, score, legs``.
+
+    ``queries``: query_id, terms, vec, names, lang; ``chunks``: id, terms, vec,
+    qualified_name, lang, source, chunk_kind, source_path, indexed_at. The
+    filters hold before each leg takes its ``pool`` best, so none is spent on
+    chunks that are left out. ``legs`` lists those that found the chunk.
+    """
+    held = filtered(chunks, **filters)
+    legs = {
+        "bm25": bm25(queries.select("query_id", "terms"), held, pool),
+        "vector": knn(queries.select("query_id", "vec"), held.filter("vec IS NOT NULL"), pool),
+        "structural": structural(queries, held),
+    }
+    found = reduce(DataFrame.unionByName, [x.select("query_id", "id", F.lit(n).alias("leg")) for n, x in legs.items()])
+    tags = found.groupBy("query_id", "id").agg(F.array_sort(F.collect_set("leg")).alias("legs"))  # three at most
+    asked = queries.select("query_id", "names", F.col("lang").alias("q_lang"))
+    rows = candidate_union(*legs.values()).join(asked, "query_id").join(held.select("id", "qualified_name", "lang", "indexed_at"), "id")
+    rows = rows.withColumns({"exact": F.coalesce(F.array_contains("names", F.col("qualified_name")), F.lit(False)), "same_lang": F.coalesce(F.col("q_lang") == F.col("lang"), F.lit(False))})
+    return rerank(rows, now_us, k, least=least).join(tags, ["query_id", "id"])
+
+
+def mode(has_terms: bool, has_vectors: bool) -> str:
+    """Search of a feedback index by what it holds: hybrid, bm25, embedding, or jaccard with neither."""
+    return {(True, True): "hybrid", (True, False): "bm25", (False, True): "embedding"}.get((has_terms, has_vectors), "jaccard")
+
+
+def phrase_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query_id, id, n_phrases``: documents (id, terms) in which terms of a query's phrase (query_id, phrases) follow one another."""
+    inside = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+    asked = queries.select("query_id", F.explode(F.array_distinct("phrases")).alias("phrase")).withColumn("words", terms(F.col("phrase"))).filter(F.size("words") > 0)
+    asked = asked.select("query_id", "phrase", F.get("words", 0).alias("first"), inside(F.col("words")).alias("wanted"))
+    held = docs.select("id", F.explode(F.array_distinct("terms")).alias("first"), inside(F.col("terms")).alias("said"))
+    hits = held.join(_bounded(asked), "first").filter(F.contains("said", F.col("wanted")))
+    return hits.groupBy("query_id", "id").agg(F.count("*").alias("n_phrases"))
+
+
+def passing(candidates: DataFrame, threshold: float, step: float = 0.1) -> DataFrame:
+    """Candidates (query_id, id, score, is_symbol) over the threshold, with ``lowered``.
+
+    Where a query has none, its prose passes from ``step`` lower, but not from under 0.
+    """
+    over = F.col("score") >= threshold
+    none = ~F.coalesce(F.bool_or(over).over(Window.partitionBy("query_id")), F.lit(False))
+    lower = max(0.0, threshold - step)
+    lowered = none & ~F.col("is_symbol") & (F.col("score") >= lower) & F.lit(lower < threshold)
+    return candidates.withColumn("lowered", lowered).filter(over | F.col("lowered"))
+
+
+def index_agreement(stored: DataFrame, logged: DataFrame) -> DataFrame:
+    """Rows per source in the index and in its log: ``source, n_stored, n_logged, status`` (pass, or warn where they differ or one is missing)."""
+    one = stored.groupBy("source").agg(F.count("*").alias("n_stored"))
+    two = logged.groupBy(F.col("source").alias("other")).agg(F.count("*").alias("n_logged"))
+    both = one.join(two, F.col("source").eqNullSafe(F.col("other")), "full_outer")
+    return both.select(F.coalesce("source", "other").alias("source"), "n_stored", "n_logged", F.when(F.col("n_stored") == F.col("n_logged"), "pass").otherwise("warn").alias("status"))
+
+
 def structural(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """``query_id, id, place`` of chunks whose qualified name is one of the query's names, in the order of the names, then id."""
     asked = queries.select("query_id", F.posexplode("names").alias("pos", "name"))

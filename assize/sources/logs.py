@@ -107,6 +107,16 @@ def external_verdicts(inbox: DataFrame, now: str) -> tuple[DataFrame, DataFrame]
     return accepted, inbox.filter(~ok)
 
 
+def misleading_verdicts(reports: DataFrame, now: str) -> DataFrame:
+    """Reports of misleading context (file_path, finding_title, finding_category, blamed_chunk_ids, reason) as human feedback."""
+    blamed = F.coalesce("blamed_chunk_ids", F.array().cast("array<string>"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("model", "fp_kind", "finding_id", "rule_id")]
+    verdict_text = F.to_json(F.struct(F.struct(blamed.alias("blamed_chunk_ids")).alias("context_misleading")))
+    return reports.select(
+        "file_path", "finding_title", "finding_category", verdict_text.alias("verdict"), "reason", F.lit(now).cast("timestamp").alias("timestamp"), F.lit("human").alias("provenance"), *none
+    )
+
+
 def validate_chunks(chunks: DataFrame) -> DataFrame:
     """Faults of a chunk table: ``id, fault``; ids that occur twice, empty texts, bad line ranges and confidences."""
     own = F.array_compact(F.array(
