@@ -470,6 +470,24 @@ t AS (SELECT *, list_bool_and(list_transform(names, lambda x: regexp_matches(nea
 u AS (SELECT *, CASE WHEN source_kind <> 'llm' OR coalesce(len(names), 0) = 0 THEN 'not-checked' WHEN there THEN 'verified' ELSE 'symbol-not-found' END AS status FROM t)
 SELECT id, status, CASE WHEN status <> 'symbol-not-found' THEN lower(severity) ELSE (['info', 'info', 'low', 'medium', 'high'])[list_position(['info', 'low', 'medium', 'high', 'critical'], lower(severity))] END AS severity FROM u""")
 
+_add("trace_fingerprints", lambda s, d: calibration.fingerprints(table(s, d, "traces"), "trace_no"),
+     "SELECT trace_no, finding_title, finding_category, input_severity, output_severity, calibrator_action, severity_change_reason, " + ", ".join(f"format('{{:.4f}}', {w}) AS {w}" for w in calibration.WEIGHTS) + ", coalesce(len(matched_precedents), 0)::INT AS n_precedents FROM traces")
+_add("index_texts", lambda s, d: table(s, d, "feedback").select("seq", text.index_text(F.col("finding_title"), F.col("reason")).alias("doc")),
+     r"SELECT seq, finding_title || CASE WHEN regexp_matches(coalesce(reason, ''), '\S') THEN ' ' || regexp_replace(reason, '^\s+|\s+$', '', 'g') ELSE '' END AS doc FROM feedback")
+_add("match_expressions", lambda s, d: table(s, d, "chunks").select("id", text.match_expression(F.array("qualified_name", "signature")).alias("expression")),
+     r"""SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(list_transform(l, lambda x: '"' || replace(x, '"', '""') || '"'), ' OR ') END AS expression
+ FROM (SELECT id, list_filter(list_transform([qualified_name, signature], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM chunks)""")
+_add("filtered_chunks", lambda s, d: retrieval.filtered(table(s, d, "chunks"), sources=("cobalt-scheduler", "amber-notifier"), kinds=("symbol", "doc"), exclude_paths=("README.md",)).select("id", "source", "chunk_kind"),
+     "SELECT id, source, chunk_kind FROM chunks WHERE source IN ('cobalt-scheduler', 'amber-notifier') AND chunk_kind IN ('symbol', 'doc') AND coalesce(source_path <> 'README.md', true)")
+_add("adaptive_threshold", lambda s, d: retrieval.passing(table(s, d, "findings").select(F.col("run_id").alias("query_id"), "id", F.when(~F.isnan("confidence"), F.col("confidence").cast("double")).alias("score"), (F.col("source_kind") != "llm").alias("is_symbol")), 0.8).select("query_id", "id", "lowered"),
+     """WITH f AS (SELECT run_id AS query_id, id, CASE WHEN NOT isnan(confidence) THEN confidence::DOUBLE END AS score, source_kind <> 'llm' AS is_symbol FROM findings),
+ g AS (SELECT *, coalesce(bool_or(score >= 0.8) OVER (PARTITION BY query_id), false) AS hit FROM f)
+ SELECT query_id, id, coalesce(NOT hit AND NOT is_symbol AND score >= 0.8::DOUBLE - 0.1::DOUBLE, false) AS lowered FROM g WHERE score >= 0.8 OR (NOT hit AND NOT is_symbol AND score >= 0.8::DOUBLE - 0.1::DOUBLE)""")
+_add("index_agreement", lambda s, d: retrieval.index_agreement(table(s, d, "chunks").dropDuplicates(["id"]), table(s, d, "chunks")),
+     "WITH a AS (SELECT source, count(*) AS n_stored FROM (SELECT id, any_value(source) AS source FROM chunks GROUP BY id) GROUP BY 1), b AS (SELECT source, count(*) AS n_logged FROM chunks GROUP BY 1) SELECT b.source, n_stored, n_logged, CASE WHEN n_stored = n_logged THEN 'pass' ELSE 'warn' END AS status FROM b LEFT JOIN a ON a.source IS NOT DISTINCT FROM b.source")
+_add("error_texts", lambda s, d: table(s, d, "documents").select("doc_id", text.sanitize_error(F.concat(F.lit("401: bearer "), F.col("source"), F.lit(' api key: '), F.col("repo"), F.lit(" "), F.col("text"))).alias("body")),
+     r"""SELECT doc_id, substr(regexp_replace('401: bearer ' || source || ' api key: ' || repo || ' ' || text, '(?i)bearer\s+[A-Za-z0-9_\-.=]+|sk-[A-Za-z0-9_\-]+|api[\s_-]?key["'']?\s*[:=]\s*["'']?[A-Za-z0-9_\-]+|x-api-key["'']?\s*[:=]\s*["'']?[A-Za-z0-9_\-]+|"(?:token|secret|access_token)"\s*:\s*"[^"]+"', '[REDACTED]', 'g'), 1, 200) AS body FROM documents""")
+
 _add("path_words", lambda s, d: table(s, d, "chunks").select("id", F.array_join(prompt.path_words(F.col("source_path")), "|").alias("words")),
      r"""SELECT id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(source_path, '\.[^./\\]*$', ''), '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[/\\_-]+'),
  lambda x: strlen(x) >= 3 AND NOT list_contains(['src', 'lib', 'tests', 'test', 'mod', 'main', 'rs', 'py', 'ts', 'js', 'tsx', 'jsx', 'mjs', 'cjs', 'yaml', 'yml', 'sh', 'bash', 'zsh', 'tf', 'tfvars'], lower(x))), '|') AS words FROM chunks""")
