@@ -232,7 +232,7 @@ def _splitter(limit: int, overlap: int, size_min: int):
     return run
 
 
-def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = 200, size_min: int = 800) -> DataFrame:
+def pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = 200, size_min: int = 1600) -> DataFrame:
     """Pieces of every chunk: ``id, piece_no, line_start, line_end, char_start, char_end, overlap_chars, unit_lines, piece``.
 
     No piece has more than ``limit`` characters, ``overlap_chars`` of which, at
