@@ -29,6 +29,8 @@ from ..storage import materialize
 FEATURES = ("s_title", "s_path", "s_cat")
 KAPPA = 0.05
 FLOOR = 1e-3
+#: Descriptions of one side of a block that meet the other side in one task.
+PART = 1_000
 
 
 def _element(title: Column) -> Column:
@@ -76,7 +78,11 @@ def _one_side(members: DataFrame) -> DataFrame:
 
 
 def _vectors(left: DataFrame, right: DataFrame) -> DataFrame:
-    pairs = left.alias("f").join(right.alias("t"), "elem")
+    # A block with many descriptions on one side is met in parts, each by all of the other side.
+    parts = left.groupBy("elem").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    left = left.join(parts, "elem").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).drop("parts")
+    right = right.join(parts, "elem").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    pairs = left.alias("f").join(right.alias("t"), ["elem", "part"])
     shared = F.size(F.array_intersect("f.tri", "t.tri"))
     nf, nt = F.size("f.tri"), F.size("t.tri")
     title = F.when(F.col("f.cut") | F.col("t.cut"), shared / F.least(nf, nt)).otherwise(shared / (nf + nt - shared))
@@ -100,6 +106,8 @@ def _vectors(left: DataFrame, right: DataFrame) -> DataFrame:
 class Mixture:
     """Two Gaussians per feature and the share of matches; missing features don't count."""
 
+    converged = False
+
     def __init__(self, share: float, matched: dict[str, float], unmatched: dict[str, float], variance: dict[str, float]):
         self.share, self.matched, self.unmatched, self.variance = share, matched, unmatched, variance
 
@@ -147,8 +155,12 @@ def _constrained(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def fit(vectors: DataFrame, iterations: int = 10, tolerance: float = 1e-4) -> tuple[Mixture, DataFrame]:
-    """The mixture, and the pairs that have rivals (``f, t``)."""
+def fit(vectors: DataFrame, iterations: int = 50, tolerance: float = 1e-4) -> tuple[Mixture, DataFrame]:
+    """The mixture, and the pairs that have rivals (``f, t``).
+
+    Ends when no mean moves by more than ``tolerance``; the mixture's
+    ``converged`` says whether that was reached.
+    """
     crowded = []
     for one, file in (("f", "file_t"), ("t", "file_f")):
         many = vectors.filter(F.col(file).isNotNull()).groupBy(one).agg(F.min(file).alias("lo"), F.max(file).alias("hi")).filter("lo != hi").select(one)
@@ -164,7 +176,8 @@ def fit(vectors: DataFrame, iterations: int = 10, tolerance: float = 1e-4) -> tu
         new = _mixture(_sums(grid.withColumn("g", g).unionByName(contested)).first())
         moved = 1.0 if model is None else max(abs(new.matched[k] - model.matched[k]) + abs(new.unmatched[k] - model.unmatched[k]) for k in FEATURES)
         model = new
-        if moved < tolerance:
+        model.converged = moved < tolerance
+        if model.converged:
             break
     return model, rivals
 
