@@ -167,7 +167,7 @@ def test_complexity():
     import ast
 
     tree = ast.parse("def f(a, b):\n    if a and b or a:\n        for x in a:\n            pass\n    return [y for y in b if y]\n").body[0]
-    assert scanning.complexity(tree) == 6
+    assert scanning.complexity(tree) == 5
 
 
 def test_prompt_texts(spark):
