@@ -34,7 +34,7 @@ POSITIONS = 48
 BITS = 256
 B = [f"b{k}" for k in range(BITS // 64)]
 #: Most texts of a node that is compared at once.
-LEAF = 96
+LEAF = 384
 #: A node larger than this share of its parent doesn't branch again.
 SHRINK = 0.5
 #: Rows of one side of a cell, in which a large node or site meets itself.
@@ -55,13 +55,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     rng = np.random.default_rng(20240229)
-    odd = (rng.integers(1, 1 << 63, POSITIONS + BITS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    add = rng.integers(0, 1 << 63, POSITIONS + BITS, dtype=np.uint64)
+    odd = (rng.integers(0, 1 << 31, POSITIONS + BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+    add = rng.integers(0, 1 << 32, POSITIONS + BITS, dtype=np.uint32)
 
     def minima(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            x = ids[:, None] * odd + add
-            x ^= x >> np.uint64(32)
+            x = (ids ^ (ids >> np.uint64(32))).astype(np.uint32)[:, None] * odd
+            x += add
+            x ^= x >> np.uint32(15)
             return np.minimum.reduceat(x, starts, axis=0)
 
     for batch in batches:
@@ -71,7 +72,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = part["line"].to_pylist()
             sites = [xxhash.xxh64_intdigest(f"{line} {' '.join(ws)}") for ws, line in zip(sets, lines)]
             full = [i for i, (ws, line) in enumerate(zip(sets, lines)) if ws and line is not None]
-            h = np.zeros((len(sets), POSITIONS + BITS), np.uint64)
+            h = np.zeros((len(sets), POSITIONS + BITS), np.uint32)
             ids = [word_ids(sets[i]) for i in full]
             short = [k for k, x in enumerate(ids) if len(x) <= 2048]
             if short:
@@ -80,9 +81,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(x) > 2048:
                     h[full[k]] = reduce(np.minimum, [minima(x[i : i + 2048], np.array([0]))[0] for i in range(0, len(x), 2048)])
             with np.errstate(over="ignore"):
-                h = h * np.uint64(0xBF58476D1CE4E5B9)
-            sig = (h[:, :POSITIONS] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            bits = np.packbits((h[:, POSITIONS:] >> np.uint64(63)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+                h = h * np.uint32(0x85EBCA6B)
+            sig = np.ascontiguousarray(h[:, :POSITIONS]).view(np.int32)
+            bits = np.packbits((h[:, POSITIONS:] >> np.uint32(31)).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
             usable = np.zeros(len(sets), bool)
             usable[full] = True
             yield pa.RecordBatch.from_arrays(
