@@ -64,6 +64,15 @@ def test_one_path_with_many_titles_is_not_shuffled_as_pairs(spark, tmp_path):
     assert n < 15_000  # 21,878 when pairs were shuffled
 
 
+def test_stats_of_one_path_are_not_shuffled_as_pairs(spark, tmp_path):
+    rng = random.Random(4)
+    fb, tr = tables(spark, [(title(rng, n), "hot.rs", "tp" if n % 3 else "fp") for n in range(700)], [(title(rng, n + 600), "hot.rs", 1.0, 0.5) for n in range(700)])
+    rows, n = shuffled(spark, lambda: {tuple(r) for r in corpus_join.join_stats(fb, tr).collect()})
+    expected = by_sql(spark, tmp_path, fb, tr)
+    assert rows == {(t, sum(c for r, c in expected.items() if r[2] == t), sum(c for r, c in expected.items() if r[2] == t and r[1])) for t in {r[2] for r in expected}}
+    assert n < 15_000
+
+
 def test_tiers_against_sql_in_blocks(spark, tmp_path, monkeypatch):
     rng = random.Random(2)
     paths = ["a.rs", "a.rs", "a.rs", "b.py", "c.go", "", None]
